@@ -71,13 +71,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def spans(data: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that aren't in space."""
-    inside = np.empty(len(data) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~space[data]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def spans(data: np.ndarray, cuts: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that aren't in space; none crosses a cut."""
+    n = len(data)
+    inside = ~space[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many flags each row [offsets[i], offsets[i + 1]) has."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 1 << 21) -> np.ndarray:

@@ -6,6 +6,9 @@ import importlib
 
 #: module, query
 MODULES = {
+    "op8_bpe_codec": "bpe",
+    "op1_quality_ledger": "quality",
+    "op3_url_rules": "url_rules",
     "op4_exact_dedup": "exact_dedup",
     "op6_cube_mixing": "mixing",
     "op7_bin_packing": "sharding",
