@@ -6,6 +6,7 @@ import importlib
 
 #: module, query
 MODULES = {
+    "op9_toxicity": "toxicity",
     "op8_bpe_codec": "bpe",
     "op1_quality_ledger": "quality",
     "op3_url_rules": "url_rules",
