@@ -133,3 +133,25 @@ def blocks(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
         yield i, min(j, n)
         i = j
+
+
+#: A key with over this part of all rows is joined by broadcast; there are fewer such keys than HOT.
+HOT = 1000
+
+
+def skew_join(rows: DataFrame, table: DataFrame, key: list[str], count: str) -> DataFrame:
+    """rows joined with table on key, which is unique in table; `count` there says how many rows have it.
+
+    A key with over 1 / HOT of all rows is broadcast, so there are at most HOT of them; no task of the
+    other join gets a key with more rows than that.
+    """
+    table = materialize(table, "lookup")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    limit = max(total // HOT, 1)
+    names = [c for c in table.columns if c not in key]
+    hot = table.filter(F.col(count) > limit).select(*key, F.struct(*names).alias("_hot"))
+    cold = table.filter(F.col(count) <= limit).select(*key, F.struct(*names).alias("_cold"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    done = marked.filter(F.col("_hot").isNotNull()).select(*rows.columns, "_hot.*")
+    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns).join(cold, key).select(*rows.columns, "_cold.*")
+    return done.unionByName(rest)
