@@ -6,6 +6,7 @@ import importlib
 
 #: module, query
 MODULES = {
+    "op2_block_labeller": "html_extract",
     "op10_repeats": "suffix_dedup",
     "op5_simhash_dedup": "near_dedup",
     "op9_toxicity": "toxicity",
