@@ -197,17 +197,19 @@ def default_path() -> str:
 class Codec:
     """Encodes blocks of texts and remembers pre-tokens: their ids in decimal, number, and decoded bytes."""
 
-    def __init__(self, vocab: Vocabulary, memory: int = MEMORY) -> None:
-        self.vocab, self.memory = vocab, memory
+    def __init__(self, vocab: Vocabulary, memory: int = MEMORY, with_ids: bool = True) -> None:
+        self.vocab, self.memory, self.with_ids = vocab, memory, with_ids
         self.text_of: dict[str | int, str] = {}
         self.bytes_of: dict[str | int, bytes] = {}
+        self.ids_of: dict[str | int, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.text_of.clear()
         self.bytes_of.clear()
+        self.ids_of.clear()
         for i in self.vocab.special.values():
-            self.text_of[i], self.bytes_of[i] = str(i), self.vocab.bytes_of[i]
+            self.text_of[i], self.bytes_of[i], self.ids_of[i] = str(i), self.vocab.bytes_of[i], np.int32(i).tobytes()
 
     def _learn(self, found: set) -> None:
         new = [w for w in found if w not in self.text_of]
@@ -218,42 +220,46 @@ class Codec:
             new = [w for w in found if w not in self.text_of]
         ids, at = self.vocab.encode_words([w.encode() for w in new])
         text = list(map(str, ids.tolist()))
+        packed = ids.astype(np.int32).tobytes()
         raw = list(map(self.vocab.bytes_of.__getitem__, ids.tolist()))
         first = 0
         for w, last in zip(new, at[1:].tolist()):
             self.text_of[w] = ",".join(text[first:last])
             self.bytes_of[w] = b"".join(raw[first:last])
+            self.ids_of[w] = packed[4 * first : 4 * last]
             first = last
 
-    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """For each text its ids, in decimal and joined by commas, and their bytes."""
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes, bytes]]:
+        """For each text its ids, in decimal and joined by commas, their bytes, and the ids as 32-bit numbers."""
         words, special = self.vocab.words, self.vocab.special
         parts = [list(self.vocab.pieces(t)) if any(s in t for s in special) else words(t) for t in texts]
         found: set = set()
         for p in parts:
             found.update(p)
         self._learn(found)
-        text, raw = self.text_of.__getitem__, self.bytes_of.__getitem__
-        return [(",".join(map(text, p)), b"".join(map(raw, p))) for p in parts]
+        text, raw, ids = self.text_of.__getitem__, self.bytes_of.__getitem__, self.ids_of.__getitem__
+        return [(",".join(map(text, p)), b"".join(map(raw, p)), b"".join(map(ids, p)) if self.with_ids else b"") for p in parts]
 
 
 def _encoded(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(vocabulary(path))
+        codec = Codec(vocabulary(path), with_ids=with_ids)
         for b in batches:
             _, offsets = text_bytes(b.column(1))
             for i, j in blocks(offsets, BLOCK):
                 n, ids_hash, text_hash, ids = [], [], [], []
-                for decimal, raw in codec.encode([t or "" for t in b.column(1).slice(i, j - i).to_pylist()]):
+                for decimal, raw, packed in codec.encode([t or "" for t in b.column(1).slice(i, j - i).to_pylist()]):
                     n.append(decimal.count(",") + 1 if decimal else 0)
                     ids_hash.append(hashlib.sha256(decimal.encode()).hexdigest())
                     text_hash.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
                     if with_ids:
-                        ids.append(np.fromstring(decimal, np.int32, sep=",") if decimal else np.zeros(0, np.int32))
+                        ids.append(packed)
                 columns = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    at = np.zeros(len(ids) + 1, np.int32)
+                    np.cumsum([len(x) // 4 for x in ids], out=at[1:])
+                    columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -107,10 +107,10 @@ def landing(prob: list[float], size: list[float]) -> list[float]:
     return out
 
 
-def sizes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, source, size (words) of every row; a null text has none."""
+def sizes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", ref: str | None = None) -> DataFrame:
+    """doc_id, ref, source, size (words) of every row; a null text has none."""
     return docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        F.col(doc_id).cast("long").alias("doc_id"), (F.col(ref) if ref else F.lit(0)).cast("long").alias("ref"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
 
 
@@ -152,7 +152,7 @@ def balanced_copies(rows: DataFrame, mix: DataFrame, seed: int = 17, chunk: int
     chunks = F.greatest(F.ceil(F.col("source_rows") / chunk), F.lit(1))
     level = rows.join(F.broadcast(mix), rows["source"].eqNullSafe(mix["source"])).drop(mix["source"])
     level = level.select(
-        rows["doc_id"], rows["source"], "size", "source_size", "target", F.floor(expected).cast("double").alias("whole"), (expected - F.floor(expected)).alias("prob"),
+        rows["doc_id"], rows["ref"], rows["source"], "size", "source_size", "target", F.floor(expected).cast("double").alias("whole"), (expected - F.floor(expected)).alias("prob"),
         F.pmod(F.xxhash64(F.lit(seed), rows["doc_id"], "size"), chunks).cast("long").alias("chunk"),
     )
     schema = level.schema
@@ -174,20 +174,22 @@ def balanced_copies(rows: DataFrame, mix: DataFrame, seed: int = 17, chunk: int
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("prob")).cast("int").alias("copies"))
+    return out.select("doc_id", "ref", "source", "size", "source_size", "target", (F.col("whole") + F.col("prob")).cast("int").alias("copies"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, chunk: int = CHUNK, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, chunk: int = CHUNK, text: str = "text", doc_id: str = "doc_id", source: str = "source", ref: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, and ref if a
+    column is named that the caller knows rows by.
 
     A null or empty text has size 0 and may be chosen, for 0 words. Rows without a source are a source
     of their own, the last. Repeated rows are chosen each for itself. With the same rows a rerun
     chooses the same; most is at least 1 and bounds a document's copies. An empty table gives no rows.
     Other columns are ignored, whatever their names.
     """
-    rows = materialize(sizes_of(docs, text, doc_id, source), "sizes")
+    rows = materialize(sizes_of(docs, text, doc_id, source, ref), "sizes")
     out = balanced_copies(rows, targets(rows, weights, share, most), seed, chunk)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    out = out.withColumn("taken", F.col("copies") * F.col("size"))
+    return out if ref else out.drop("ref")
 
 
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from quern.llm.common import blocks, mix, span_hashes, spans, text_bytes
 
@@ -360,24 +361,23 @@ def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, text: s
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def _scored(model: Model | float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(model: Model | float, place: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(b.schema.names.index("_text"))
+            column = b.column(place)
             _, offsets = text_bytes(column)
             got = [score_texts(model, column.slice(i, j - i)) for i, j in blocks(offsets)]
             s = np.concatenate(got).astype(np.float64) if got else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names) if n != "_text"), pa.array(s)], names=[*(n for n in b.schema.names if n != "_text"), "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "_score"])
 
     return score
 
 
 def score_docs(docs: DataFrame, model: Model | float, text: str = "text") -> DataFrame:
-    """docs with a column _score from 0 to 1; a null text, or one without words, has 0. No shuffle."""
-    from pyspark.sql.types import DoubleType, StructType
-
+    """docs, of which text is a string, with a column _score from 0 to 1; a null text, or one without
+    words, has 0. No shuffle. docs mustn't have a column _score."""
     schema = StructType([*docs.schema.fields]).add("_score", DoubleType())
-    return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(_scored(model), schema)
+    return docs.mapInArrow(_scored(model, docs.columns.index(text)), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
