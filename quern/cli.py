@@ -54,7 +54,7 @@ def run(spark: SparkSession, config: Config, lines: Iterable[str]) -> Iterable[s
             if not os.path.isdir(config.dataset_dir):
                 yield f"no folder {config.dataset_dir}"
                 continue
-            docs = articles(read_lines(spark, config.dataset_dir))
+            docs = articles(read_lines(spark, config.dataset_dir)).dropDuplicates(["url"])
             index = Index.build(spark, docs, config.index_dir, key="url", title="title", url="url", codec=config.codec)
             yield f"indexed {index.table('docs').count()} documents"
         elif command == "load":

@@ -57,3 +57,13 @@ def strip_tags(html: Column) -> Column:
 def flatten_paragraphs(paragraphs: Column) -> Column:
     """Sentences joined, a blank line between paragraphs, tags removed."""
     return strip_tags(F.array_join(F.transform(paragraphs, lambda p: F.array_join(p, "")), "\n\n"))
+
+
+#: Latin letters with marks, and what stands for them.
+_MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
+_PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+
+
+def transliterate(text: Column) -> Column:
+    """Without marks on Latin letters. The tokenizer doesn't do this by itself: apply it to the text before."""
+    return F.translate(text, _MARKED, _PLAIN)

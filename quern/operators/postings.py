@@ -41,9 +41,12 @@ def frequencies(posts: DataFrame) -> DataFrame:
 
 def scored(posts: DataFrame, lens: DataFrame, stats: DataFrame, model: BM25 = BM25(), doc_id: str = "doc_id") -> DataFrame:
     """posts with doc_len, df and score (BM25 of the term in the document)."""
-    terms = frequencies(posts)
-    # stats is one row, so it is always broadcast.
-    joined = posts.join(lens, doc_id).join(terms, "term").crossJoin(F.broadcast(stats))
+    return with_scores(posts.join(lens, doc_id), frequencies(posts), stats, model)
+
+
+def with_scores(posts: DataFrame, terms: DataFrame, stats: DataFrame, model: BM25 = BM25()) -> DataFrame:
+    """posts (with doc_len) with df and score. stats is one row, so it is always broadcast."""
+    joined = posts.join(terms, "term").crossJoin(F.broadcast(stats))
     return joined.withColumn("score", model.score(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avgdl"))).drop("n_docs", "n_tokens", "avgdl")
 
 
@@ -80,3 +83,12 @@ def doc_gaps(posts: DataFrame, doc_id: str = "doc_id", size: int = RANGE) -> Dat
     inside = Window.partitionBy("term", "_range").orderBy(doc_id)
     rows = rows.withColumn("_lag", F.lag(doc_id).over(inside)).join(last, ["term", "_range"])
     return rows.select("term", doc_id, (F.col(doc_id) - F.coalesce("_lag", "_before")).alias("gap"))
+
+
+def merge_runs(*runs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Postings of several runs as one, range-partitioned and sorted by term and document. Rows that two
+    runs have both stay."""
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.unionByName(run)
+    return out.repartitionByRange("term", doc_id).sortWithinPartitions("term", doc_id)

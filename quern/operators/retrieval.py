@@ -60,6 +60,12 @@ def all_of(posts: DataFrame, terms: dict[str, int]) -> DataFrame:
     return found.filter(F.col("n") == len(terms)).select("doc_id")
 
 
+def both(posts: DataFrame, left: str, right: str) -> DataFrame:
+    """doc_id of documents that have two terms."""
+    at = lambda t: posts.filter(F.col("term") == t).select("doc_id")
+    return at(left).join(at(right), "doc_id", "left_semi")
+
+
 def any_of(posts: DataFrame, terms: dict[str, int]) -> DataFrame:
     return fetch(posts, terms).select("doc_id").distinct()
 

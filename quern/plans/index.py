@@ -16,7 +16,7 @@ from quern.operators import postings as P
 from quern.operators import retrieval as R
 from quern.operators.fuzzy import similar_terms
 from quern.operators.ids import dense_ids
-from quern.plans.workspace import workspace
+from quern.plans.workspace import workspace, write_table
 
 CACHED_QUERIES = 10_000
 VERSION = 1
@@ -45,26 +45,32 @@ class Index:
 
     @classmethod
     def build(cls, spark: SparkSession, docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", title: str | None = None, url: str | None = None, model: BM25 = BM25(), codec: str = DEFAULT, chunk: int = P.CHUNK) -> Index:
-        """Indexes docs (key: a column that orders them) and writes the tables under path, over any index there.
+        """Indexes docs (key: a column without repeats that orders them) and writes the tables under path, over
+        any index there.
 
-        Documents without a token get no identifier. Postings are range-partitioned and sorted by term, so
-        a search reads the row groups of its terms only.
+        Documents without a token get no identifier. Texts are shuffled at most once, to meet their
+        identifiers, and counting their terms then needs no shuffle. Postings are range-partitioned and
+        sorted by term, so a search reads the row groups of its terms only.
         """
         check_codec(codec)
         path = path or f"{workspace(spark)}/index-{uuid.uuid4().hex}"
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
         get = lambda name: spark.read.parquet(f"{path}/{name}")
         rows = docs.select(F.col(key).alias("ext_id"), F.col(text).alias("text"), (F.col(title) if title else F.concat(F.lit("doc-"), F.col(key))).alias("title"), (F.col(url) if url else F.lit("")).alias("url"))
-        rows = rows.withColumn("doc_len", doc_length(F.col("text"))).filter("doc_len > 0")
-        ids = dense_ids(rows, "ext_id", name="doc_id")
-        put(ids.select("doc_id", "ext_id", "title", "url", "doc_len"), "docs")
-        lens = get("docs").select("doc_id", "doc_len")
-        stats = P.collection(lens)
+        known = rows.select("ext_id", "title", "url", doc_length(F.col("text")).alias("doc_len")).filter("doc_len > 0")
+        put(dense_ids(known, "ext_id", name="doc_id").select("doc_id", "ext_id", "title", "url", "doc_len"), "docs")
+        ids = get("docs").select("ext_id", "doc_id", "doc_len")
+        if ids.groupBy("ext_id").count().filter("count > 1").limit(1).count():
+            raise ValueError(f"{key} isn't unique")
+        stats = P.collection(ids)
         stamp = uuid.uuid4().hex
         put(stats.select("n_docs", "n_tokens", "avgdl", F.lit(model.k1).alias("k1"), F.lit(model.b).alias("b"), F.lit(codec).alias("codec"), F.lit(VERSION).alias("version"), F.lit(stamp).alias("stamp")).coalesce(1), "meta")
         stats = get("meta").select("n_docs", "n_tokens", "avgdl")
-        posts = P.scored(P.postings(ids), lens, stats, model)
-        posts = P.numbered(posts).withColumn("chunk_no", P.chunk_of(F.col("rn"), chunk))
+        # Grouped by ext_id too: the join may have brought all rows of one together already.
+        tokens = tokenize(rows.select("ext_id", "text").join(ids, "ext_id"), "text", "ext_id", "doc_id", "doc_len")
+        posts = tokens.groupBy("ext_id", "doc_id", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).drop("ext_id")
+        posts = write_table(posts, "postings")
+        posts = P.with_scores(P.numbered(posts), P.frequencies(posts), stats, model).withColumn("chunk_no", P.chunk_of(F.col("rn"), chunk))
         posts = posts.select("term", "doc_id", "tf", "positions", "score", "chunk_no").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         put(posts, "postings")
         posts = get("postings").drop("positions")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quern.functions import bm25, codecs, text
 from quern.operators import postings as P
 from quern.operators import retrieval as R
+from quern.operators.chunks import decode_chunks, encode_chunks
 from quern.operators.fuzzy import similar_terms
 from quern.operators.ids import dense_ids
 from quern.plans.index import Index, query_terms
@@ -320,6 +321,30 @@ def _codec(name: str, with_gaps: bool) -> Query:
 _CODEC_SQL = _sql("SELECT term, chunk_no, count(*) AS n, true AS same FROM c GROUP BY term, chunk_no")
 
 
+def chunk_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings out of compressed chunks again."""
+    posts = index_of(spark, sf).table("postings")
+    found = decode_chunks(encode_chunks(posts.filter(F.col("term").isin("tion", "en", "ering", "re")), "pfordelta"), "pfordelta")
+    return found.select("term", "chunk_no", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def posting_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of each language by itself, merged."""
+    docs = documents(spark, sf)
+    runs = [P.postings(docs.filter(c)).drop("positions") for c in ("lang = 'en'", "lang = 'de'", "lang NOT IN ('en', 'de')")]
+    return P.merge_runs(*runs)
+
+
+def boolean_pairwise(spark: SparkSession, sf: str) -> DataFrame:
+    index = index_of(spark, sf)
+    return _out(R.both(index.table("postings"), "tion", "ering"), index)
+
+
+def transliterated_terms(spark: SparkSession, sf: str) -> DataFrame:
+    rows = documents(spark, sf).select("doc_id", text.transliterate(F.col("text")).alias("text"))
+    return text.tokenize(rows, "text", "doc_id").groupBy("term").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "tokenize_documents": (tokenize_documents, _sql("SELECT doc_id, pos, term FROM t")),
     "tokenize_query": (tokenize_query, "SELECT * FROM (VALUES (1, 'rust-engine'), (3, 'index'), (5, 'state-of-the-art'), (6, '42'), (8, 'or'), (9, 'x')) AS q(pos, term)"),
@@ -397,6 +422,13 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "sanitize_title": (sanitize_title, r"""SELECT page_id, substring(regexp_replace(regexp_replace(url || ' a' || chr(9) || 'b ' || html, '[\\/*?:"<>|]', '_', 'g'), '\s+', '_', 'g'), 1, 200) AS name FROM pages"""),
     "jsonl_round_trip": (jsonl_round_trip, "SELECT source AS url, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY source"),
     "batch_sink": (batch_sink, "SELECT count(*) AS n, true AS small FROM documents"),
+    "chunk_round_trip": (
+        chunk_round_trip,
+        _sql("SELECT term, (row_number() OVER (PARTITION BY term ORDER BY p.doc_id) - 1) // 128 AS chunk_no, id AS doc_id, tf::BIGINT AS tf, array_to_string(positions, ',') AS positions FROM p JOIN ids ON ext_id = p.doc_id WHERE term IN ('tion', 'en', 'ering', 're')"),
+    ),
+    "posting_merge": (posting_merge, _sql("SELECT term, doc_id, tf FROM p")),
+    "boolean_pairwise": (boolean_pairwise, _sql("SELECT doc_id FROM p WHERE term IN ('tion', 'ering') GROUP BY doc_id HAVING count(*) = 2")),
+    "transliterated_terms": (transliterated_terms, _sql("SELECT term, count(*) AS n FROM t GROUP BY term").replace("text, '[", f"translate(text, '{text._MARKED}', '{text._PLAIN}'), '[")),
     "codec_varbyte": (_codec("varbyte", True), _CODEC_SQL),
     "codec_simple9": (_codec("simple9", True), _CODEC_SQL),
     "codec_simple16": (_codec("simple16", True), _CODEC_SQL),
