@@ -33,7 +33,7 @@ RULES: tuple[tuple[str, Callable[[], Column]], ...] = (
     ("few_words", lambda: _c("n_words") < 10),
     ("repeated_words", lambda: 100 * _c("n_repeat_words") > 20 * _c("n_words")),
     ("symbols", lambda: 10 * _c("n_symbols") > _c("n_words")),
-    ("duplicate_lines", lambda: 10 * _c("n_dup_lines") > 3 * _c("n_lines")),
+    ("duplicate_lines", lambda: 2 * _c("n_dup_lines") > _c("n_lines")),
     ("table_cells", lambda: 10 * _c("n_bars") > _c("n_words")),
     ("shouting", lambda: 10 * _c("n_bangs") > _c("n_words")),
     ("capitals", lambda: 10 * _c("n_upper") > 4 * _c("n_ascii_letters")),
@@ -181,7 +181,7 @@ m AS (
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (
   SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END | CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END | CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
-    | CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END | CASE WHEN 10 * n_bars > n_words THEN 16 ELSE 0 END | CASE WHEN 10 * n_bangs > n_words THEN 32 ELSE 0 END
+    | CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END | CASE WHEN 10 * n_bars > n_words THEN 16 ELSE 0 END | CASE WHEN 10 * n_bangs > n_words THEN 32 ELSE 0 END
     | CASE WHEN 10 * n_upper > 4 * n_letters THEN 64 ELSE 0 END | CASE WHEN 2 * word_chars < 5 * n_words THEN 128 ELSE 0 END | CASE WHEN 20 * n_long > n_words THEN 256 ELSE 0 END
     | CASE WHEN word_chars > 20 * n_words THEN 512 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
