@@ -29,6 +29,8 @@ HIDDEN, EMBED = 8, 4
 #: Rows of the learned embeddings, and slots of the table of log-odds (a slot knows its key).
 BUCKETS, SLOTS = 1 << 13, 1 << 20
 THRESHOLD = 0.7
+#: How fast learned embeddings fade, over the number of texts.
+FADE = 600.0
 GRAMS = (3, 4, 5)
 
 _APART = np.ones(256, bool)
@@ -67,12 +69,9 @@ def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 class LogOdds:
     """Log-odds by 64-bit key in a fixed number of slots. A slot keeps the key's tag, so another key finds 0."""
 
-    def __init__(self, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, without: int | None = None) -> None:
-        """toxic, clean: the keys of each text, once for each text that has them. without: 1, as a toxic
-        text's own keys are seen from the others (each key counts one toxic text less); 0, likewise a clean one's."""
-        keys, where = np.unique(np.concatenate([toxic, clean]), return_inverse=True)
-        a = np.bincount(where[: len(toxic)], minlength=len(keys))
-        c = np.bincount(where[len(toxic) :], minlength=len(keys))
+    def __init__(self, keys: np.ndarray, a: np.ndarray, c: np.ndarray, n_toxic: int, n_clean: int, without: int | None = None) -> None:
+        """keys, and how many toxic and clean texts have each. without: 1, as a toxic text's own keys are seen
+        from the others (each key counts one toxic text less); 0, likewise a clean one's."""
         if without is not None:
             a, c = np.maximum(a - without, 0), np.maximum(c - (1 - without), 0)
         value = np.log((a + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
@@ -84,6 +83,24 @@ class LogOdds:
         self.tag[slot] = (keys[keep] >> np.uint64(32)).astype(np.uint32)
         self.value[slot] = value[keep]
 
+    @staticmethod
+    def counts(keys: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys that several texts have, toxic texts, clean texts) for the distinct keys of each text."""
+        by = []
+        for k in (1, 0):
+            x = np.concatenate([x for x, v in zip(keys, y) if v == k])
+            x.sort()
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            by.append((x[first], np.diff(np.append(first, len(x)))))
+        every = np.union1d(by[0][0], by[1][0])
+        out = []
+        for found, n in by:
+            total = np.zeros(len(every), np.int32)
+            total[np.searchsorted(every, found)] = n
+            out.append(total)
+        some = out[0] + out[1] > 1
+        return every[some], out[0][some], out[1][some]
+
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         slot = (keys % np.uint64(SLOTS)).astype(np.int64)
         return np.where(self.tag[slot] == (keys >> np.uint64(32)).astype(np.uint32), self.value[slot], np.float32(0))
@@ -150,7 +167,7 @@ class Model:
         first = np.searchsorted(owner, np.arange(len(start)))
         count = np.bincount(owner, minlength=len(start)).astype(np.float32)
         fixed = np.stack([self.words(key), np.maximum.reduceat(odds, first), np.add.reduceat(odds, first) / count], 1)
-        return {"fixed": np.clip(fixed / 4, -1.5, 1.5), "word": (key % np.uint64(BUCKETS)).astype(np.int64), "owner": owner, "gram": (gram % np.uint64(BUCKETS)).astype(np.int64), "first": first, "count": count[:, None]}
+        return {"fixed": np.clip(fixed / 4, -1.5, 1.5).astype(np.float32), "word": (key % np.uint64(BUCKETS)).astype(np.int64), "owner": owner.astype(np.int32), "gram": (gram % np.uint64(BUCKETS)).astype(np.int32), "first": first, "count": count[:, None]}
 
     def vectors(self, f: dict) -> np.ndarray:
         return np.concatenate([f["fixed"], self.p["word"][f["word"]], np.add.reduceat(self.p["gram"][f["gram"]], f["first"], axis=0) / f["count"]], 1).astype(np.float32)
@@ -241,9 +258,9 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 5, epochs: int
         words += w
         grams += g
     count = (int(y.sum()), int((1 - y).sum()))
-    cat = lambda xs, k: np.concatenate([x for x, v in zip(xs, y) if v == k])
-    tables = {k: [LogOdds(cat(x, 1), cat(x, 0), *count, without=k) for x in (words, grams)] for k in (None, 0, 1)}
-    del words, grams
+    known = [LogOdds.counts(x, y) for x in (words, grams)]
+    tables = {k: [LogOdds(*x, *count, without=k) for x in known] for k in (None, 0, 1)}
+    del words, grams, known
     model = Model(*tables[None], seed)
 
     rng = np.random.default_rng(seed)
@@ -255,7 +272,7 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 5, epochs: int
         for i, j in blocks(text_bytes(group)[1]):
             f, ids, grid, text, n = _prepare(seen, group.slice(i, j - i))
             if len(text):
-                parts.append((f, ids[grid], own[text + i], n))
+                parts.append((f, ids[grid].astype(np.int32), own[text + i], n))
     if not parts:
         return float(y.mean())
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
@@ -273,15 +290,21 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 5, epochs: int
             _, one = np.unique(text[some], return_index=True)
             extra = some[one]
             pick = np.unique(np.concatenate([pick, extra[y[text[extra]] == 0]]))
-            used, where = np.unique(ids[pick], return_inverse=True)
-            rows.append((_take(f, used), where.reshape(-1, WINDOW), n[pick], y[text[pick]]))
+            grid, size, target = ids[pick], n[pick], y[text[pick]]
+            if target[0] == 0:
+                # A clean text's word is clean however often it is repeated; few real windows would say so.
+                again = rng.choice(grid.reshape(-1), max(1, len(grid) // 4))
+                grid = np.concatenate([grid, np.repeat(again[:, None], WINDOW, axis=1)])
+                size, target = np.concatenate([size, np.full(len(again), WINDOW)]), np.concatenate([target, np.zeros(len(again), np.float32)])
+            used, where = np.unique(grid, return_inverse=True)
+            rows.append((_take(f, used), where.reshape(-1, WINDOW), size, target))
         f, ids, n, target = _merge(rows)
         batches = -(-len(ids) // 256)
         for _ in range(max(epochs, -(-100 // batches))):
             for take in np.array_split(rng.permutation(len(ids)), batches):
                 step += 1
                 used, where = np.unique(ids[take], return_inverse=True)
-                _train(model, _take(f, used), where.reshape(-1, WINDOW).T, n[take], target[take], state, step)
+                _train(model, _take(f, used), where.reshape(-1, WINDOW).T, n[take], target[take], state, step, FADE / len(y))
     return model
 
 
@@ -303,7 +326,7 @@ def _merge(rows: list[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]) -> tuple
     return f, np.concatenate([r[1] + w for r, w in zip(rows, words)]), np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows])
 
 
-def _train(model: Model, f: dict, where: np.ndarray, n: np.ndarray, y: np.ndarray, state: dict, step: int, rate: float = 0.006) -> None:
+def _train(model: Model, f: dict, where: np.ndarray, n: np.ndarray, y: np.ndarray, state: dict, step: int, fade: float, rate: float = 0.006) -> None:
     """One step of Adam on windows; classes weigh the same."""
     p = model.p
     x = model.vectors(f)
@@ -333,10 +356,11 @@ def _train(model: Model, f: dict, where: np.ndarray, n: np.ndarray, y: np.ndarra
     np.add.at(g["gram"], f["gram"], (d_x[:, 3 + EMBED :] / f["count"])[f["owner"]])
     for k, grad in g.items():
         m1, m2 = state[k]
-        grad = grad + 1e-3 * p[k] if k not in ("bias",) else grad
         m1 += 0.1 * (grad - m1)
         m2 += 0.01 * (grad * grad - m2)
         p[k] -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        if k != "bias":  # fewer texts say less about words, so what is learned of these fades faster
+            p[k] *= np.float32(1 - rate * (fade if k in ("word", "gram") else 0.02))
 
 
 def held_out(doc_id: Column) -> Column:
