@@ -47,7 +47,9 @@ def doc_length(text: Column) -> Column:
 
 def tokenize(rows: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     """keys, pos, term of each surviving token. pos counts all raw words, also those that are dropped."""
-    return rows.select(*keys, F.posexplode(split_words(F.col(text))).alias("pos", "_word")).select(*keys, "pos", clean_word(F.col("_word")).alias("term")).filter(is_token(F.col("term")))
+    # Words are cleaned before they are rows: in a projection after it, filters would clean each word again.
+    terms = F.transform(split_words(F.col(text)), clean_word)
+    return rows.select(*keys, F.posexplode(terms).alias("pos", "term")).filter(is_token(F.col("term")))
 
 
 def strip_tags(html: Column) -> Column:
