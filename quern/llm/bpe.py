@@ -26,9 +26,9 @@ from quern.llm.common import blocks, text_bytes
 #: As the byte-level pre-tokenizer splits; \s by the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of text whose pre-tokens are encoded together.
-BLOCK = 1 << 23
+BLOCK = 6 << 20
 #: Encoded pre-tokens that a task remembers; it forgets all beyond.
-MEMORY = 400_000
+MEMORY = 200_000
 
 _NONE = np.int64(1) << 40
 
@@ -226,7 +226,8 @@ class Codec:
         for w, last in zip(new, at[1:].tolist()):
             self.text_of[w] = ",".join(text[first:last])
             self.bytes_of[w] = b"".join(raw[first:last])
-            self.ids_of[w] = packed[4 * first : 4 * last]
+            if self.with_ids:
+                self.ids_of[w] = packed[4 * first : 4 * last]
             first = last
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes, bytes]]:
