@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -24,6 +24,8 @@ from quern.llm.common import blocks, mix, span_hashes, spans, text_bytes
 
 #: Labelled texts of each class that the model is fitted on, at most; those with the least hash.
 FIT_ROWS = 1200
+#: Bytes of the texts of each class that it is fitted on, at most; whole texts, in the same order.
+FIT_BYTES = 6 << 20
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 8, 4
 #: Rows of the learned embeddings, and slots of the table of log-odds (a slot knows its key).
@@ -83,29 +85,37 @@ class LogOdds:
         self.tag[slot] = (keys[keep] >> np.uint64(32)).astype(np.uint32)
         self.value[slot] = value[keep]
 
-    @staticmethod
-    def counts(keys: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys that several texts have, toxic texts, clean texts) for the distinct keys of each text."""
-        by = []
-        for k in (1, 0):
-            x = np.concatenate([x for x, v in zip(keys, y) if v == k])
-            x.sort()
-            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-            by.append((x[first], np.diff(np.append(first, len(x)))))
-        every = np.union1d(by[0][0], by[1][0])
-        out = []
-        for found, n in by:
-            total = np.zeros(len(every), np.int32)
-            total[np.searchsorted(every, found)] = n
-            out.append(total)
-        some = out[0] + out[1] > 1
-        return every[some], out[0][some], out[1][some]
-
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         slot = (keys % np.uint64(SLOTS)).astype(np.int64)
         return np.where(self.tag[slot] == (keys >> np.uint64(32)).astype(np.uint32), self.value[slot], np.float32(0))
 
 
+class Counts:
+    """In how many toxic and clean texts each key occurs, block by block of texts."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.n = np.zeros((2, 0), np.int32)
+
+    def add(self, keys: list[np.ndarray], y: np.ndarray) -> None:
+        """keys: the distinct ones of each text; y: 1 for toxic texts."""
+        for k in (0, 1):
+            x = np.concatenate([np.zeros(0, np.uint64), *(x for x, v in zip(keys, y) if v == k)])
+            x.sort()
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            found, times = x[first], np.diff(np.append(first, len(x)))
+            every = np.union1d(self.keys, found)
+            n = np.zeros((2, len(every)), np.int32)
+            n[:, np.searchsorted(every, self.keys)] = self.n
+            n[k, np.searchsorted(every, found)] += times.astype(np.int32)
+            self.keys, self.n = every, n
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys that several texts have, toxic texts, clean texts)."""
+        some = self.n.sum(0) > 1
+        return self.keys[some], self.n[1, some], self.n[0, some]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -251,16 +261,13 @@ def fit(texts: list[str | None], toxic: list[int], rounds: int = 5, epochs: int
         return float(y.mean()) if len(y) else 0.0
     array = pa.array(texts, pa.large_string())
     offsets = text_bytes(array)[1]
-    words: list[np.ndarray] = []
-    grams: list[np.ndarray] = []
-    for i, j in blocks(offsets):
-        w, g = _keys(array.slice(i, j - i))
-        words += w
-        grams += g
+    words, grams = Counts(), Counts()
+    for i, j in blocks(offsets, 1 << 20):
+        for counts, keys in zip((words, grams), _keys(array.slice(i, j - i))):
+            counts.add(keys, y[i:j])
     count = (int(y.sum()), int((1 - y).sum()))
-    known = [LogOdds.counts(x, y) for x in (words, grams)]
-    tables = {k: [LogOdds(*x, *count, without=k) for x in known] for k in (None, 0, 1)}
-    del words, grams, known
+    tables = {k: [LogOdds(*x.repeated(), *count, without=k) for x in (words, grams)] for k in (None, 0, 1)}
+    del words, grams
     model = Model(*tables[None], seed)
 
     rng = np.random.default_rng(seed)
@@ -368,9 +375,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, text: str = "text", doc_id: str = "doc_id") -> Model | float:
-    """A model of at most `most` toxic and `most` clean labelled texts that aren't held out: those whose
-    identifiers have the least hash. Rows without text or label are left out."""
+def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_bytes: int = FIT_BYTES, text: str = "text", doc_id: str = "doc_id") -> Model | float:
+    """A model of at most `most` toxic and `most` clean labelled texts that aren't held out, of at most
+    most_bytes each: those whose identifiers have the least hash. Rows without text or label are left out."""
     ok = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     ok = ok.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(3), "doc_id")
@@ -381,7 +388,8 @@ def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, text: s
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # At most 2 * most rows, so the broadcast is bounded; of repeated rows one is learned from.
     found = body.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min_by("text", F.length("text")).alias("text"), F.max("toxic").alias("toxic"))
-    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = sorted(found.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes).select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

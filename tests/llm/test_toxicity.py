@@ -102,3 +102,21 @@ def test_labels_of_one_class(spark, docs):
 
 def test_empty(spark, none):
     assert T.toxicity(none, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).count() == 0
+
+
+def test_counts():
+    c = T.Counts()
+    c.add([np.array([1, 5], np.uint64), np.array([5], np.uint64)], np.array([1, 0]))
+    c.add([np.array([5, 9], np.uint64), np.array([1], np.uint64)], np.array([1, 1]))
+    keys, toxic, clean = c.repeated()
+    assert keys.tolist() == [1, 5] and toxic.tolist() == [2, 2] and clean.tolist() == [0, 1]
+
+
+def test_fitted_on_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda texts, toxic: seen.append((len(texts), sum(map(len, texts)))) or 0.0)
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    T.fit_labels(docs, labels, most=20)
+    T.fit_labels(docs, labels, most_bytes=1050)
+    assert seen == [(40, 4000), (20, 2000)]
