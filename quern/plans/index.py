@@ -16,7 +16,7 @@ from quern.operators import postings as P
 from quern.operators import retrieval as R
 from quern.operators.fuzzy import similar_terms
 from quern.operators.ids import dense_ids
-from quern.plans.workspace import workspace, write_table
+from quern.plans.workspace import spread, workspace, write_table
 
 CACHED_QUERIES = 10_000
 VERSION = 1
@@ -57,7 +57,9 @@ class Index:
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
         get = lambda name: spark.read.parquet(f"{path}/{name}")
         rows = docs.select(F.col(key).alias("ext_id"), F.col(text).alias("text"), (F.col(title) if title else F.concat(F.lit("doc-"), F.col(key))).alias("title"), (F.col(url) if url else F.lit("")).alias("url"))
-        known = rows.select("ext_id", "title", "url", doc_length(F.col("text")).alias("doc_len")).filter("doc_len > 0")
+        rows = spread(rows)
+        # Written before it is filtered and sorted, so that each text is split into words once here.
+        known = write_table(rows.select("ext_id", "title", "url", doc_length(F.col("text")).alias("doc_len")), "lengths").filter("doc_len > 0")
         put(dense_ids(known, "ext_id", name="doc_id").select("doc_id", "ext_id", "title", "url", "doc_len"), "docs")
         ids = get("docs").select("ext_id", "doc_id", "doc_len")
         if ids.groupBy("ext_id").count().filter("count > 1").limit(1).count():

@@ -19,6 +19,7 @@ from quern.operators.chunks import decode_chunks, encode_chunks
 from quern.operators.fuzzy import similar_terms
 from quern.operators.ids import dense_ids
 from quern.plans.index import Index, query_terms
+from quern.plans.workspace import spread
 from quern.sources import articles as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +27,7 @@ _indexes: dict[tuple[str, str, float], Index] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:

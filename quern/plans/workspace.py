@@ -22,3 +22,10 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores. A table of few row groups would else be read,
+    and its texts split into words, by few tasks; a large one has many, and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
