@@ -24,8 +24,12 @@ from quern.llm.common import blocks, mix, span_hashes, spans, text_bytes
 
 #: Labelled texts of each class that the model is fitted on, at most; those with the least hash.
 FIT_ROWS = 1200
-#: Bytes of the texts of each class that it is fitted on, at most; whole texts, in the same order.
+#: Bytes of the texts of each class that it is fitted on, at most; whole texts, in the same order. Texts of
+#: over 1 / LONG of them come last, the shortest first, so that none of them can take the place of many.
 FIT_BYTES = 6 << 20
+LONG = 100
+#: Texts of each class that it is fitted on whatever their bytes, if there are so many.
+LEAST_ROWS = 10
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 8, 4
 #: Rows of the learned embeddings, and slots of the table of log-odds (a slot knows its key).
@@ -376,8 +380,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_bytes: int = FIT_BYTES, text: str = "text", doc_id: str = "doc_id") -> Model | float:
-    """A model of at most `most` toxic and `most` clean labelled texts that aren't held out, of at most
-    most_bytes each: those whose identifiers have the least hash. Rows without text or label are left out."""
+    """A model of at most `most` toxic and `most` clean labelled texts that aren't held out: those whose
+    identifiers have the least hash. Of each class they have at most most_bytes, unless LEAST_ROWS texts
+    have more; long texts give way to others. Rows without text or label are left out."""
     ok = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     ok = ok.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(3), "doc_id")
@@ -388,8 +393,10 @@ def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_by
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # At most 2 * most rows, so the broadcast is bounded; of repeated rows one is learned from.
     found = body.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min_by("text", F.length("text")).alias("text"), F.max("toxic").alias("toxic"))
-    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = sorted(found.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes).select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])
+    size = F.octet_length("text").cast("long")
+    in_turn = Window.partitionBy("toxic").orderBy(F.when(size * LONG > most_bytes, size).otherwise(0), order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("so_far", F.sum(size).over(in_turn)).withColumn("place", F.count("*").over(in_turn))
+    rows = sorted(found.filter((F.col("so_far") <= most_bytes) | (F.col("place") <= LEAST_ROWS)).select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import toxicity as T
 
@@ -120,3 +121,27 @@ def test_fitted_on_a_bounded_sample(spark, monkeypatch):
     T.fit_labels(docs, labels, most=20)
     T.fit_labels(docs, labels, most_bytes=1050)
     assert seen == [(40, 4000), (20, 2000)]
+
+
+def test_long_texts_starve_no_others(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(T, "fit", lambda texts, toxic: seen.append(sorted((y, len(t)) for t, y in zip(texts, toxic))) or 0.0)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    learned = [r["doc_id"] for r in labels.filter(~T.held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(3), "doc_id")).collect()]
+    of = {k: [i for i in learned if i % 2 == k] for k in (0, 1)}
+
+    def fitted(long, most_bytes):
+        docs = spark.createDataFrame([(i, "x" * long.get(i, 10)) for i in range(600)], "doc_id long, text string")
+        T.fit_labels(docs, labels, most=100, most_bytes=most_bytes)
+        return seen.pop()
+
+    whole = [(k, 10) for k in (0, 1) for _ in range(99)]
+    # The first text of each class is too long, or takes nearly all bytes.
+    for size in (5000, 1900):
+        assert fitted({of[0][0]: size, of[1][0]: size}, 2000) == whole
+    # Several that would fill the bytes together; those that fit beside the others are learned from.
+    found = fitted({i: 300 for k in of for i in of[k][:20]}, 2000)
+    assert found == sorted((k, n) for k in (0, 1) for n in [10] * 80 + [300] * 4)
+    # Each class has some rows however long its texts are.
+    found = fitted({i: 5000 for i in of[1]}, 2000)
+    assert found == [(0, 10)] * 100 + [(1, 5000)] * T.LEAST_ROWS
