@@ -271,6 +271,28 @@ def wiki_clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return A.dump_articles(_wiki(spark, sf), "https://wiki.example.org/?curid=").select("id", "url", "text", "title")
 
 
+def wiki_clean_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's whole body cleaned, as the one revision of an article; none is left out by its identifier."""
+    revision = F.array(F.struct(F.lit("2001").alias("timestamp"), F.col("html").alias("text")))
+    rows = pages(spark, sf).select(F.col("page_id").alias("id"), F.lit(0).alias("ns"), F.lit(None).cast("string").alias("redirect"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), revision.alias("revision"))
+    return A.dump_articles(rows, "https://wiki.example.org/?curid=").select("id", "url", "text", "title")
+
+
+#: Patterns that leave nothing or their first group. The tables have no listed sections and no nested templates.
+_CLEANED = "html"
+for _pattern, _left in (
+    (r"\[\[Category:[^\]]*\]\]", ""),
+    (r"(?s)<!--.*?-->|<ref[^>]*/>|<ref[^>]*>.*?</ref>", ""),
+    (r"\{\{[^{}]*\}\}", ""),
+    (r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", r"\1"),
+    (r"\[https?://[^ \]]*[ ]?([^\]]*)\]", r"\1"),
+    (r"<[^>]*>|''{2,5}", ""),
+    (r"(?m)^=+[ \t]*(.*?)[ \t]*=+[ \t]*$", r"\1"),
+    (r"^\s+|\s+$", ""),
+):
+    _CLEANED = f"regexp_replace({_CLEANED}, '{_pattern}', '{_left}', 'g')"
+
+
 def categories_extract(spark: SparkSession, sf: str) -> DataFrame:
     return _wiki(spark, sf).select("id", F.array_join(A.categories(A.last_revision(F.col("revision"))), ";").alias("categories"))
 
@@ -418,6 +440,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         wiki_clean_text,
         "SELECT page_id AS id, 'https://wiki.example.org/?curid=' || page_id AS url, 'Intro ' || title || ' is shown and plain .  After q' AS text, title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages) WHERE page_id % 3 = 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0",
     ),
+    "wiki_clean_bodies": (
+        wiki_clean_bodies,
+        f"SELECT * FROM (SELECT page_id AS id, 'https://wiki.example.org/?curid=' || page_id AS url, replace(replace({_CLEANED}, chr(10), ' '), '\"', '') AS text, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages) WHERE text <> ''",
+    ),
     "categories_extract": (categories_extract, "SELECT page_id AS id, CASE WHEN page_id % 7 <> 0 THEN 'First;Second' END AS categories FROM pages"),
     "corpus_filter": (corpus_filter, "SELECT page_id AS id FROM pages WHERE page_id % 3 = 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0"),
     "sanitize_title": (sanitize_title, r"""SELECT page_id, substring(regexp_replace(regexp_replace(url || ' a' || chr(9) || 'b ' || html, '[\\/*?:"<>|]', '_', 'g'), '\s+', '_', 'g'), 1, 200) AS name FROM pages"""),

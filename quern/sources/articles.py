@@ -50,12 +50,33 @@ def drop_sections(text: Column) -> Column:
     """Without the sections in SECTIONS, each up to the next heading of its level or a higher one."""
     names = "|".join(SECTIONS)
     out = text
-    for level in (2, 3):
-        mark = "=" * level
-        out = F.regexp_replace(out, rf"(?s)(?:^|\n){mark}[ \t]*(?:{names})[ \t]*{mark}[ \t]*(?:\n.*?)?(?=\n={{2,{level}}}[^=]|\z)", "")
+    for level in range(1, 7):
+        mark, up = "=" * level, f"={{1,{level}}}"
+        out = F.regexp_replace(out, rf"(?s)(?:^|\n){mark}[ \t]*(?:{names})[ \t]*{mark}[ \t]*(?:\n.*?)?(?=\n{up}[^=\n][^\n]*=[ \t]*(?:\n|\z)|\z)", "")
     return out
 
 
+def drop_templates(text: Column) -> Column:
+    """Without templates, innermost first, until none is left.
+
+    A template goes in a turn after those in it, so the deepest nesting of braces bounds the turns; those
+    after nothing changes cost nothing.
+    """
+    braces = F.regexp_extract_all(text, F.lit(r"([{}])"), F.lit(1))
+    depth = F.aggregate(
+        braces,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, c: F.struct(F.greatest(F.lit(0), s["now"] + F.when(c == "{", 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "{", 1).otherwise(-1)).alias("most")),
+        lambda s: s["most"],
+    )
+    return F.aggregate(
+        F.sequence(F.lit(0), depth),
+        F.struct(F.lit(None).cast("string").alias("was"), text.alias("text")),
+        lambda s, _: F.when(s["was"] == s["text"], s).otherwise(F.struct(s["text"].alias("was"), F.regexp_replace(s["text"], r"\{\{[^{}]*\}\}", "").alias("text"))),
+        lambda s: s["text"],
+    )
+
+
 def drop_category_links(text: Column) -> Column:
     return F.regexp_replace(text, r"\[\[Category:[^\]]*\]\]", "")
 
@@ -67,8 +88,7 @@ def categories(text: Column) -> Column:
 def strip_markup(text: Column) -> Column:
     """Wiki text as plain text: no comments, references, templates, tags, link targets or emphasis."""
     out = F.regexp_replace(text, r"(?s)<!--.*?-->|<ref[^>]*/>|<ref[^>]*>.*?</ref>", "")
-    for _ in range(3):  # templates in templates
-        out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
+    out = drop_templates(out)
     out = F.regexp_replace(out, r"\[\[(?:[^\]|]*\|)?([^\]|]*)\]\]", "$1")
     out = F.regexp_replace(out, r"\[https?://[^ \]]*[ ]?([^\]]*)\]", "$1")
     out = F.regexp_replace(out, r"<[^>]*>|'{2,5}", "")

@@ -40,6 +40,16 @@ def test_wiki_text(spark):
     assert row.select(A.clean_wiki_text(F.col("t")).alias("t")).first()["t"].split() == ["A", "x", "B", "y", "s"]
 
 
+def test_templates_and_sections_of_any_depth(spark):
+    deep = "{{t|" * 9 + "x" + "}}" * 9
+    texts = [f"a {deep}b", "a {{{x}}{y}}b", "a {b} {{c", "{{x}} " * 50 + "a", None]
+    texts += [f"a\n{'=' * k} Notes {'=' * k}\ngone\n{'=' * k} B {'=' * k}\nb" for k in range(1, 7)]
+    texts += ["a\n==== Notes ====\ngone\n===== Sub =====\ngone\n== B ==\nb", "a\n= References =\ngone\n== Sub ==\ngone"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = [r["t"] for r in rows.select("i", A.clean_wiki_text(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert found == ["a b", "a b", "a {b} {{c", "a", None, *["a B b"] * 7, "a"]
+
+
 def test_batches(spark, tmp_path):
     A.write_batches(spark.range(1201).coalesce(1), f"file://{tmp_path}/out")
     assert len(list((tmp_path / "out").glob("*.parquet"))) == 3
