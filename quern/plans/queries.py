@@ -207,6 +207,11 @@ def terms_listing(spark: SparkSession, sf: str) -> DataFrame:
     return index_of(spark, sf).terms(8).select("term_id", "term")
 
 
+def terms_listing_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms, of any length that the operator lists by default."""
+    return index_of(spark, sf).terms().select("term_id", "term")
+
+
 def doc_metadata_join(spark: SparkSession, sf: str) -> DataFrame:
     return index_of(spark, sf).search("ering tion eau", k=20).select("doc_id", "ext_id", "title", "url", F.col("doc_len").cast("long").alias("doc_len"), "score")
 
@@ -351,6 +356,12 @@ def chunk_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("term", "chunk_no", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
+def chunk_round_trip_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The postings of all terms out of compressed chunks again."""
+    found = decode_chunks(encode_chunks(index_of(spark, sf).table("postings"), "pfordelta"), "pfordelta")
+    return found.select("term", "chunk_no", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
 def posting_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Postings of each language by itself, merged."""
     docs = documents(spark, sf)
@@ -414,6 +425,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _sql("SELECT n_docs, n_tokens, round(avgdl, 6) AS avgdl, n_terms, max_length, n_chunks, 'simple16' AS codec, true AS stored FROM s, (SELECT count(*) AS n_terms, max(length(term)) AS max_length FROM f), (SELECT count(*) AS n_chunks FROM (SELECT DISTINCT term, chunk_no FROM c))"),
     ),
     "terms_listing": (terms_listing, _sql("SELECT term_id, term FROM (SELECT row_number() OVER (ORDER BY term) AS term_id, term FROM f) WHERE length(term) <= 8")),
+    "terms_listing_all": (terms_listing_all, _sql("SELECT term_id, term FROM (SELECT row_number() OVER (ORDER BY term) AS term_id, term FROM f) WHERE length(term) <= 20")),
     "doc_metadata_join": (
         doc_metadata_join,
         _sql(f"SELECT id AS doc_id, ext_id, 'doc-' || ext_id AS title, source AS url, doc_len, score FROM (SELECT * FROM ({_RANKED.format(q=_values(_bag('ering tion eau')))}) WHERE score > 0 ORDER BY score DESC, doc_id DESC LIMIT 20) r JOIN ids ON ext_id = r.doc_id JOIN documents d ON d.doc_id = ext_id"),
@@ -453,6 +465,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         chunk_round_trip,
         _sql("SELECT term, (row_number() OVER (PARTITION BY term ORDER BY p.doc_id) - 1) // 128 AS chunk_no, id AS doc_id, tf::BIGINT AS tf, array_to_string(positions, ',') AS positions FROM p JOIN ids ON ext_id = p.doc_id WHERE term IN ('tion', 'en', 'ering', 're')"),
     ),
+    "chunk_round_trip_all": (
+        chunk_round_trip_all,
+        _sql("SELECT term, (row_number() OVER (PARTITION BY term ORDER BY p.doc_id) - 1) // 128 AS chunk_no, id AS doc_id, tf::BIGINT AS tf, array_to_string(positions, ',') AS positions FROM p JOIN ids ON ext_id = p.doc_id"),
+    ),
     "posting_merge": (posting_merge, _sql("SELECT term, doc_id, tf FROM p")),
     "boolean_pairwise": (boolean_pairwise, _sql("SELECT doc_id FROM p WHERE term IN ('tion', 'ering') GROUP BY doc_id HAVING count(*) = 2")),
     "transliterated_terms": (transliterated_terms, _sql("SELECT term, count(*) AS n FROM t GROUP BY term").replace("text, '[", f"translate(text, '{text._MARKED}', '{text._PLAIN}'), '[")),
