@@ -8,7 +8,8 @@ import sys
 from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from quern.functions.codecs import DEFAULT, check_codec
 from quern.operators.retrieval import check_mode
@@ -39,6 +40,14 @@ class Config:
         return config
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each article: its url, a digest of title and text, and a number among
+    those that are alike. Articles may share a url."""
+    docs = docs.withColumn("key", F.concat_ws("\n", "url", F.sha2(F.to_json(F.struct("title", "text")), 256)))
+    alike = Window.partitionBy("key").orderBy(F.lit(0))
+    return docs.withColumn("key", F.concat_ws("\n", "key", F.row_number().over(alike)))
+
+
 def run(spark: SparkSession, config: Config, lines: Iterable[str]) -> Iterable[str]:
     """What each command answers."""
     index: Index | None = None
@@ -54,8 +63,8 @@ def run(spark: SparkSession, config: Config, lines: Iterable[str]) -> Iterable[s
             if not os.path.isdir(config.dataset_dir):
                 yield f"no folder {config.dataset_dir}"
                 continue
-            docs = articles(read_lines(spark, config.dataset_dir)).dropDuplicates(["url"])
-            index = Index.build(spark, docs, config.index_dir, key="url", title="title", url="url", codec=config.codec)
+            docs = keyed(articles(read_lines(spark, config.dataset_dir)))
+            index = Index.build(spark, docs, config.index_dir, key="key", title="title", url="url", codec=config.codec)
             yield f"indexed {index.table('docs').count()} documents"
         elif command == "load":
             index = Index.load(spark, config.index_dir)

@@ -79,6 +79,14 @@ def test_commands(spark, tmp_path):
     assert list(run(spark, config, ["load", "query search"]))[1].endswith("t2 u2")
 
 
+def test_articles_that_share_a_url_are_all_indexed(spark, tmp_path):
+    row = lambda title, text: json.dumps({"url": "u", "title": title, "text": text})
+    put(tmp_path / "data" / "a.zst", [row("t", "rust"), row("t", "index"), row("s", "rust"), row("t", "rust")])
+    said = list(run(spark, Config(str(tmp_path / "data"), f"file://{tmp_path}/index", mode="boolean"), ["index", "query rust", "query index"]))
+    assert said[0] == "indexed 4 documents"
+    assert sorted(x.split(" ", 1)[1] for x in said[1:4]) == ["s u", "t u", "t u"] and said[4].endswith("t u") and len(said) == 5
+
+
 def test_config(tmp_path):
     assert Config.load(str(tmp_path / "none")) == Config()
     (tmp_path / "c").write_text('{"mode": "bmw", "more": 1}')
