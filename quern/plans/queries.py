@@ -329,7 +329,7 @@ def batch_sink(spark: SparkSession, sf: str) -> DataFrame:
     from quern.plans.workspace import workspace
 
     path = f"{workspace(spark)}/batches-{os.path.basename(sf.rstrip('/'))}"
-    A.write_batches(documents(spark, sf).select("doc_id", "lang"), path)
+    A.write_batches(documents(spark, sf), path)
     per_file = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
     return per_file.agg(F.sum("n").alias("n"), (F.max("n") <= A.BATCH).alias("small"))
 
@@ -365,8 +365,8 @@ def chunk_round_trip_all(spark: SparkSession, sf: str) -> DataFrame:
 def posting_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Postings of each language by itself, merged."""
     docs = documents(spark, sf)
-    runs = [P.postings(docs.filter(c)).drop("positions") for c in ("lang = 'en'", "lang = 'de'", "lang NOT IN ('en', 'de')")]
-    return P.merge_runs(*runs)
+    runs = [P.postings(docs.filter(c)) for c in ("lang = 'en'", "lang = 'de'", "coalesce(lang, '') NOT IN ('en', 'de')")]
+    return P.merge_runs(*runs).select("term", "doc_id", "tf")
 
 
 def boolean_pairwise(spark: SparkSession, sf: str) -> DataFrame:
