@@ -107,12 +107,13 @@ class Index:
         return self.table("terms").filter(F.length("term") <= longest)
 
     def metadata(self) -> DataFrame:
-        """One row: documents, terms, chunks, size in GB, statistics, codec, folder."""
+        """One row: documents, terms, chunks, size in GB, statistics, codec, folder. The codec is a name that goes
+        with the index; postings_encoded says whether its postings are stored with it, and they aren't."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.path)
         size = files.agg((F.coalesce(F.sum("length"), F.lit(0)) / 1e9).alias("size_gb"))
         terms = self.table("terms").agg(F.count("*").alias("n_terms"), F.max(F.length("term")).alias("max_length"))
         chunks = self.table("block_max").agg(F.count("*").alias("n_chunks"))
-        return self.table("meta").crossJoin(terms).crossJoin(chunks).crossJoin(size).withColumn("index_dir", F.lit(self.path))
+        return self.table("meta").crossJoin(terms).crossJoin(chunks).crossJoin(size).withColumn("index_dir", F.lit(self.path)).withColumn("postings_encoded", F.lit(False))
 
     def _terms_of(self, text: str, strict: bool) -> dict[str, int]:
         counts: dict[str, int] = {}

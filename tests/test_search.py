@@ -121,3 +121,10 @@ def test_many(spark, mini):
     assert found == [(1, 1, 1.165035), (1, 2, 0.0), (1, 3, 0.0), (2, 1, -0.665734), (2, 2, -0.847298), (2, 3, -0.981082)]
 
 
+
+
+def test_metadata_says_that_postings_are_not_encoded(spark):
+    from quern.plans.index import Index
+
+    meta = Index.build(spark, spark.createDataFrame([(1, "rust engine")], "doc_id long, text string"), codec="rice").metadata().first()
+    assert meta["codec"] == "rice" and meta["postings_encoded"] is False
