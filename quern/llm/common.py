@@ -23,10 +23,13 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of this machine only where the session names none."""
+    """The folder all executors share, as the session names it. Where it names none, a temporary one of this
+    machine if all executors are on it; on a cluster that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quern-checkpoint-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -41,7 +44,15 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that materialize() wrote for df; nothing may read it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[bool, DataFrame]:
@@ -139,14 +150,16 @@ def blocks(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]
 HOT = 1000
 
 
-def skew_join(rows: DataFrame, table: DataFrame, key: list[str], count: str) -> DataFrame:
-    """rows joined with table on key, which is unique in table; `count` there says how many rows have it.
+def skew_join(rows: DataFrame, table: DataFrame, key: list[str], count: str, total: int | None = None) -> DataFrame:
+    """rows joined with table on key, which is unique in table; `count` there says how many rows have it, in
+    total at most `total` (else they are counted).
 
     A key with over 1 / HOT of all rows is broadcast, so there are at most HOT of them; no task of the
     other join gets a key with more rows than that.
     """
-    table = materialize(table, "lookup")
-    total = table.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        table = materialize(table, "lookup")
+        total = table.agg(F.sum(count)).first()[0] or 0
     limit = max(total // HOT, 1)
     names = [c for c in table.columns if c not in key]
     hot = table.filter(F.col(count) > limit).select(*key, F.struct(*names).alias("_hot"))
