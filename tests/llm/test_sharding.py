@@ -1,7 +1,9 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -67,16 +69,38 @@ def test_more_shards_than_groups(docs, rows):
     check(sharding.pack_shards(docs, 400).collect(), rows, 400)
 
 
-def test_bundles_and_parts(docs, rows, monkeypatch):
-    monkeypatch.setattr(sharding, "SPLIT", 2)
-    monkeypatch.setattr(sharding, "BUNDLES", 4)
-    measured = sharding.measure(docs)
-    found = sharding.number_slots(sharding.assign_shards(measured, 3), slot_rows=10).collect()
-    by = defaultdict(list)
-    for r in found:
-        by[r["shard"]].append(r["slot"])
-    assert sum(map(len, by.values())) == len(rows)
-    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+def by_hand(rows, capacity=None, shards=None):
+    """Shard of each text: best-fit decreasing of all groups, one by one; of equal sizes the least digest first."""
+    size = defaultdict(int)
+    for _, t, *_ in rows:
+        size[t or ""] += len((t or "").encode()) + 16
+    groups = sorted(size, key=lambda t: (-size[t], hashlib.sha256(t.encode()).digest()))
+    sizes = [size[t] for t in groups]
+    if capacity is None:
+        capacity = max(max(sizes), -(-sum(sizes) // shards))
+        while slow_best_fit(sizes, capacity, shards) is None:
+            capacity += 1
+    return dict(zip(groups, slow_best_fit(sizes, capacity, shards)))
+
+
+@pytest.mark.parametrize("shards, capacity", [(5, None), (None, 9_000)])
+def test_placement_of_the_query_is_best_fit_decreasing(spark, shards, capacity):
+    """Many groups of one size, and one text that a third of all rows have."""
+    r = random.Random(8)
+    texts = ["".join(r.choices("abc", k=r.choice([10, 10, 10, 50, 51, 200, r.randint(1, 300)]))) for _ in range(300)] + ["hot" * 30] * 150
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sharding.pack_shards(docs, shards, capacity).collect()
+    want = by_hand(rows, capacity, shards)
+    where = {r["doc_id"]: r["shard"] for r in found}
+    assert where == {i: want[t] for i, t in rows}
+    check(found, rows, max(want.values()) + 1)
+
+
+def test_a_row_repeated_often_is_numbered_in_parts(spark):
+    rows = [(1, "same")] * 500 + [(i, f"t{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(sharding.pack_shards(docs, 3).collect(), rows, 3)
 
 
 def test_sizes_are_near_equal(spark):
