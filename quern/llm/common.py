@@ -49,6 +49,17 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return table
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """materialize() in buckets of key, as many as a shuffle has partitions: a join on key then doesn't
+    shuffle the table."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table that materialize() wrote for df; nothing may read it any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import materialize, skew_join
 
-#: Runs that meet in one round.
-FAN = 8
+#: Runs that meet in one round; the tree has log(partitions, FAN) rounds.
+FAN = 4
 #: Entries of a chunk, and rows that one run is made of.
 CHUNK, RUN = 20_000, 1 << 20
 

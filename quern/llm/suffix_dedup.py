@@ -15,9 +15,18 @@ if and only if these two parts are.
    so equal windows are found from exact comparisons of bytes, not of hashes.
 3. The windows that occur elsewhere go back to their texts, where the bytes they cover are removed.
 
+What departs from the method: neither the dictionary of all phrases nor the parse as numbers is stored, and both
+suffix orders exist only in pieces, one for each trigger string that occurs again, and LENGTH bytes deep.
+Whether a window occurs elsewhere asks for no more, and most phrases of a corpus occur once: their order among
+all others would be the dearest part of it.
+
 Equal phrases with equal surroundings in one task's texts are one row from the start, so passages that
-a third of all rows share cost one row a task. A trigger string in over CAP rows is met in parts: by
-the core that all windows with the trigger at nearly the same distance have in common.
+a third of all rows share cost one row a task. A trigger string that occurs over CAP times doesn't meet as one
+group, whatever is around it: its windows are counted one by one, told apart by 128 bits of two hashes. Of
+these, a task tells its texts at once of windows that it sees twice, and sends on one row for each window.
+
+Each text has a number, which is written down with it, so rows that are alike are still each their own. Texts
+are written once, compressed and in buckets by number, and every join with them reads the buckets as they are.
 """
 
 from __future__ import annotations
@@ -31,15 +40,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, mix, powers, text_bytes
+from quern.llm.common import bounded_broadcast, bucketed, materialize, mix, powers, text_bytes
 
 LENGTH, TRIGGER = 200, 24
 #: Places of a trigger in a window.
 PLACES = LENGTH - TRIGGER + 1
-#: Bytes of text parsed together, triggers of texts a task dedups together, rows sorted together, rows of a trigger string that one task takes.
+#: Bytes of text parsed together, triggers (or windows) of texts a task dedups together, rows sorted together, occurrences of a trigger string up to which they meet.
 PIECE, HELD, SORTED, CAP = 1 << 20, 1 << 20, 16_000, 20_000
-#: Distances of the trigger that share a core when a trigger string is met in parts.
-BAND = 16
+#: Hot trigger strings that may be broadcast; more are joined by a shuffle with salt.
+BROADCAST_HOT, SALT = 500_000, 32
 
 _INT = np.int64
 
@@ -122,8 +131,17 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
 _COUNTED = "key long, ref long, n long, local boolean"
 
 
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of compressed texts."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    texts = [decompress(x) for x in column.to_pylist()]
+    offsets = np.zeros(len(texts) + 1, _INT)
+    np.cumsum([len(t) for t in texts], out=offsets[1:])
+    return np.frombuffer(b"".join(texts), np.uint8), offsets
+
+
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref, text) -> key, ref, n, local. Of a key that several texts of the task have, or one has twice,
+    """(ref, body) -> key, ref, n, local. Of a key that several texts of the task have, or one has twice,
     each text learns at once (local) and one row goes on to the count."""
     keys: list[np.ndarray] = []
     refs: list[np.ndarray] = []
@@ -146,7 +164,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_arrays([pa.array(columns[0].view(_INT)), *map(pa.array, columns[1:])], names=["key", "ref", "n", "local"]).to_batches(max_chunksize=100_000)
 
     for b in batches:
-        data, offsets = text_bytes(b.column(1))
+        data, offsets = _unpacked(b.column(1))
         ref = b.column(0).to_numpy()
         for p in pieces(data, offsets):
             text, _, _, _, key = triggers(p)
@@ -198,7 +216,7 @@ _MET = "key long, ref long, start long, windows int, left int, n int, body binar
 
 
 def _meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref, body, keys, hot) -> _MET rows of triggers with repeated strings. Rows with n = 0 and no body
+    """(ref, body, keys) -> _MET rows of triggers with these strings. Rows with n = 0 and no body
     tell a text of windows that the task itself has found elsewhere."""
     parts: list[tuple[np.ndarray, ...]] = []
     bodies: list[pa.Array] = []
@@ -234,16 +252,14 @@ def _meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
     for b in batches:
-        for ref, packed, keys, hot in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-            wanted, hot = np.unique(keys.values.to_numpy().view(np.uint64)), hot.values.to_numpy().view(np.uint64) if hot.is_valid and len(hot.values) else np.zeros(0, np.uint64)
+        for ref, packed, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            wanted = np.unique(keys.values.to_numpy().view(np.uint64))
             data = np.frombuffer(decompress(packed), np.uint8)
             for p in pieces(data, np.array([0, len(data)])):
                 _, t, lo, hi, key = triggers(p)
                 at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 pick = np.flatnonzero(wanted[at] == key)
                 t, lo, hi, key = t[pick], lo[pick], hi[pick], key[pick]
-                if len(hot) and len(key):
-                    t, lo, hi, key = _banded(p.data, t, lo, hi, key, np.isin(key, hot))
                 if not len(key):
                     continue
                 length = hi - lo + LENGTH
@@ -263,23 +279,102 @@ def _meeting_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from flush()
 
 
-def _banded(data: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hot triggers in parts: windows with the trigger at a distance of [BAND * k, BAND * (k + 1)), under
-    the hash of the core that all of these hold, whatever else is around."""
-    out = [[x[~hot]] for x in (t, lo, hi, key)]
+#: Windows of hot triggers. n: how many windows of a task's texts the row stands for; 0: a run of count windows that occur elsewhere.
+_WINDOW = "k1 long, k2 long, ref long, start long, count int, n int"
+
+
+def window_hashes(data: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each data[start:start + length]: of the whole, and of its quarters."""
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    t, lo, hi, key = t[hot], lo[hot], hi[hot], key[hot]
-    for k in range(-(-PLACES // BAND)):
-        a, b = np.maximum(lo, t - BAND * (k + 1) + 1), np.minimum(hi, t - BAND * k)
-        some = np.flatnonzero(a <= b)
-        a, b, at = a[some], b[some], t[some]
-        left, right = at - BAND * k, at - BAND * (k + 1) + 1 + LENGTH
-        core = mix(((total[right] - total[left]) * down[left]) ^ np.uint64(k + 1))
-        for x, y in zip(out, (at, a, b, mix(core ^ key[some]))):
-            x.append(y)
-    return tuple(np.concatenate(x) for x in out)
+    part = lambda a, b: mix((total[b] - total[a]) * down[a])
+    second = np.zeros(len(start), np.uint64)
+    for i in range(4):
+        second = mix(second + part(start + i * length // 4, start + (i + 1) * length // 4) + np.uint64(i + 1))
+    return part(start, start + length), second
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ref, body, hot) -> _WINDOW rows of the windows of hot triggers. Windows that the task sees twice are told to
+    their texts at once, and one row goes on."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    names = ["k1", "k2", "ref", "start", "count", "n"]
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        k1, k2, ref, start = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((k2, k1))
+        k1, k2, ref, start = k1[order], k2[order], ref[order], start[order]
+        lead = np.ones(len(k1), bool)
+        lead[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        first = np.flatnonzero(lead)
+        n = np.diff(np.append(first, len(k1)))
+        again = np.repeat(n > 1, n)
+        r, s = ref[again], start[again]
+        by = np.lexsort((s, r))
+        r, s = r[by], s[by]
+        edge = np.ones(len(r), bool)
+        edge[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)
+        at = np.flatnonzero(edge)
+        runs = (mix(r[at].astype(np.uint64)), np.zeros(len(at), np.uint64), r[at], s[at], np.diff(np.append(at, len(r))), np.zeros(len(at), _INT))
+        counts = (k1[first], k2[first], ref[first], start[first], np.ones(len(first), _INT), n)
+        columns = [np.concatenate(x) for x in zip(counts, runs)]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+        yield from pa.Table.from_arrays([pa.array(c.view(_INT), pa.int64()).cast(k) for c, k in zip(columns, kinds)], names=names).to_batches(max_chunksize=100_000)
+
+    for b in batches:
+        data, offsets = _unpacked(b.column(1))
+        ref, hot = b.column(0).to_numpy(), [np.sort(h.values.to_numpy().view(np.uint64)) for h in b.column(2)]
+        for p in pieces(data, offsets):
+            text, _, lo, hi, key = triggers(p)
+            pick = np.zeros(len(key), bool)
+            for x in np.unique(text).tolist():
+                own = slice(*np.searchsorted(text, [x, x + 1]))
+                pick[own] = np.isin(key[own], hot[p.row + x])
+            if not pick.any():
+                continue
+            text, lo, many = text[pick], lo[pick], (hi - lo + 1)[pick]
+            at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            text = np.repeat(text, many)
+            parts.append((*window_hashes(p.data, at), ref[text + p.row], at - p.offsets[text] + p.base))
+            held += len(at)
+            if held >= HELD:
+                yield from flush()
+                parts.clear()
+                held = 0
+    if parts:
+        yield from flush()
+
+
+def _repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_WINDOW rows sorted by hashes -> ref, start, count: runs of windows that occur elsewhere. One task's flush has one
+    row of a window, so few rows are held back."""
+    held: pa.Table | None = None
+
+    def out(t: pa.Table) -> pa.RecordBatch:
+        k1, k2, ref, start, count, n = (c.to_numpy() for c in t.columns)
+        lead = np.ones(len(k1), bool)
+        lead[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        total = np.add.reduceat(n, np.flatnonzero(lead))[np.cumsum(lead) - 1] if len(n) else n
+        at = np.flatnonzero((total > 1) & (n == 1))  # the others know already
+        return pa.RecordBatch.from_arrays([pa.array(ref[at]), pa.array(start[at]), pa.array(count[at])], names=["ref", "start", "count"])
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        n = t["n"].to_numpy()
+        if (n == 0).any():
+            yield from t.filter(pa.array(n == 0)).select(["ref", "start", "count"]).to_batches()
+            t = t.filter(pa.array(n > 0))
+        if not len(t):
+            continue
+        t = pa.concat_tables([held, t]) if held is not None else t
+        k1 = t["k1"].to_numpy()
+        cut = int(np.searchsorted(k1, k1[-1]))
+        yield out(t.slice(0, cut))
+        held = t.slice(cut)
+    if held is not None:
+        yield out(held)
 
 
 def _classes(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -409,32 +504,46 @@ def _cut_rows(with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compresses texts, so that a shuffle of them writes less."""
+    """Compresses texts, so that less of them is written."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack((t or "").encode()) for t in b.column(2).to_pylist()], pa.binary())], names=["ref", "doc_id", "body"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "body"])
+
+
+def _with_hot(repeated: DataFrame) -> tuple[DataFrame, bool]:
+    """repeated with hot right in all rows of a key: a task's own rows don't know it. And whether any is."""
+    hot = materialize(repeated.filter("hot").select("key").distinct(), "hot")
+    if not hot.limit(1).count():
+        return repeated, False
+    few, known = bounded_broadcast(hot.withColumn("found", F.lit(True)), BROADCAST_HOT)
+    if few:
+        out = repeated.join(known, "key", "left")
+    else:
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        out = repeated.withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(SALT)).cast("int")).join(salted, ["key", "salt"], "left")
+    return out.select("ref", "key", F.col("found").isNotNull().alias("hot")), True
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = True, cap: int = CAP, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (bytes).
 
     A null text counts as empty; a text of under LENGTH bytes keeps all. Repeated rows, as copies of each
-    other, lose all bytes that a window covers. A cut may split a character: what is left are bytes. An
-    empty table gives no rows. Other columns are ignored, whatever their names.
+    other, lose all bytes that a window covers. A very long text is parsed in parts that overlap, and has all its
+    windows compared. A cut may split a character: what is left are bytes. An empty table gives no rows.
+    Other columns are ignored, whatever their names.
     """
-    # Rows that are alike in all share ref and get the same answer, which is right for each of them.
-    rows = docs.select(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("ref"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    counted = rows.select("ref", "text").mapInArrow(_count_rows, _COUNTED)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    packed = rows.mapInArrow(_packed, "doc_id long, body binary").withColumn("ref", F.monotonically_increasing_id())
+    packed = bucketed(packed, "packed", "ref")
+    counted = packed.select("ref", "body").mapInArrow(_count_rows, _COUNTED)
     repeated = counted.repartition(F.when(F.col("local"), F.xxhash64("key", "ref")).otherwise(F.col("key"))).sortWithinPartitions("key").mapInArrow(_repeated_rows(cap), "ref long, key long, hot boolean")
-    repeated = materialize(repeated, "repeated")
-    hot = repeated.filter("hot").select("key").distinct()
-    some_hot = bool(hot.limit(1).count())
-    if some_hot:
-        repeated = repeated.select("ref", "key").join(hot.withColumn("hot", F.lit(True)), "key", "left")
-    keys = repeated.groupBy("ref").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
-    packed = rows.mapInArrow(_packed, "ref long, doc_id long, body binary")
-    met = packed.join(keys, "ref").select("ref", "body", "keys", "hot").mapInArrow(_meeting_rows, _MET)
+    repeated, some_hot = _with_hot(materialize(repeated, "repeated"))
+    of_ref = lambda which: repeated.filter(which).groupBy("ref").agg(F.collect_set("key").alias("keys"))
+    met = packed.select("ref", "body").join(of_ref(~F.col("hot")), "ref").select("ref", "body", "keys").mapInArrow(_meeting_rows, _MET)
     runs = met.repartition("key").sortWithinPartitions("key").mapInArrow(_runs, "ref long, start long, count int")
+    if some_hot:
+        hot = packed.select("ref", "body").join(of_ref(F.col("hot")), "ref").select("ref", "body", "keys").mapInArrow(_window_rows, _WINDOW)
+        runs = runs.unionByName(hot.repartition("k1").sortWithinPartitions("k1", "k2").mapInArrow(_repeated_windows, "ref long, start long, count int"))
     found = runs.groupBy("ref").agg(F.collect_list(F.struct("start", "count")).alias("r"))
     found = found.select("ref", F.col("r.start").alias("starts"), F.col("r.count").alias("counts"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")

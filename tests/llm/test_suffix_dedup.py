@@ -47,10 +47,29 @@ def test_against_brute_force(spark, seed):
     check(spark, texts(seed))
 
 
-def test_hot_triggers_in_parts(spark):
+def test_hot_triggers_by_windows(spark):
     check(spark, texts(3), cap=2)
 
 
+def test_a_passage_under_the_length_is_hot_and_meets_nowhere(spark, monkeypatch):
+    """Many texts hold one 195-byte passage among random neighbours: no group of over CAP rows meets."""
+    r = random.Random(5)
+    rand = lambda n: "".join(r.choices("abcdefgh", k=n))
+    short, long = rand(195), rand(260)
+    rows = [rand(60) + short + rand(60) for _ in range(90)] + [rand(40) + long + rand(40) for _ in range(40)] + [rand(30) + short + "x" * 40] * 2
+    check(spark, rows, cap=30)
+    data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *map(len, rows)])
+    hot = Counter(int(k) for p in S.pieces(data, offsets) for k in S.triggers(p)[4])
+    assert max(hot.values()) > 90
+
+
+def test_repeated_rows_are_each_their_own(spark):
+    text = "".join(random.Random(2).choices("abcdef", k=500))
+    docs = spark.createDataFrame([(1, text)] * 30 + [(2, "short")] * 5, "doc_id long, text string").repartition(4)
+    found = S.remove_repeats(docs).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["n_spans"]) for r in found) == [(1, 500, 1)] * 30 + [(2, 0, 0)] * 5
+
+
 def test_small_pieces_and_runs(spark, monkeypatch):
     """Long texts in parts, runs flushed early: seen in this process, where the sizes are changed."""
     rows = texts(4)
