@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import blocks, text_bytes
+from quern.llm.common import blocks, release, text_bytes
 
 #: As the byte-level pre-tokenizer splits; \s by the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -244,6 +244,7 @@ class Codec:
 
 def _encoded(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier stages left
         codec = Codec(vocabulary(path), with_ids=with_ids)
         for b in batches:
             _, offsets = text_bytes(b.column(1))
@@ -263,6 +264,8 @@ def _encoded(path: str, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]],
                     columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        del codec
+        release()
 
     return encode
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[bool, DataFrame]:
     return few, F.broadcast(df) if few else df
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker process goes on to other stages with what it has."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R**i and R**-i modulo 2**64 for i < n."""
     if not _powers or len(_powers["up"]) < n:

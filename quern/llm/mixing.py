@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from quern.llm.common import WORD, materialize
+from quern.llm.common import WORD, materialize, skew_join
+from quern.operators.ids import dense_ids
 
 CHUNK = 50_000
+#: Rows that are alike which one task writes out.
+ALIKE = 100_000
 FAN = 1024
-#: The mix is defined over a list of sources that the driver holds.
-MAX_SOURCES = 1_000_000
+#: Sources whose targets the driver computes and that may be broadcast; with more both is done by tables.
+LOCAL_SOURCES = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
 
 _EPS = 1e-9
@@ -110,26 +113,45 @@ def landing(prob: list[float], size: list[float]) -> list[float]:
 def sizes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", ref: str | None = None) -> DataFrame:
     """doc_id, ref, source, size (words) of every row; a null text has none."""
     return docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), (F.col(ref) if ref else F.lit(0)).cast("long").alias("ref"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        F.col(doc_id).cast("long").alias("doc_id"), (F.col(ref) if ref else F.lit(0)).alias("ref"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
 
 
-def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, source_rows, target. Sources by code point, null last."""
-    found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("m")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    target = water_fill([r["n"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
+def targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, local: int = LOCAL_SOURCES) -> tuple[DataFrame, bool]:
+    """source, source_size, source_rows, target; and whether there are at most `local` sources. Sources by code
+    point, null last."""
+    found = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sources")
+    if found.count() > local:
+        return many_targets(found, weights, share, most), False
+    some = sorted(found.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    target = water_fill([r["source_size"] for r in some], [weights[i % len(weights)] for i in range(len(some))], share, most)
     schema = "source string, source_size long, source_rows long, target double"
-    return rows.sparkSession.createDataFrame([(r["source"], r["n"], r["m"], t) for r, t in zip(found, target)], schema)
+    return rows.sparkSession.createDataFrame([(*r, t) for r, t in zip(some, target)], schema), True
+
+
+def many_targets(found: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """water_fill() by aggregates: each turn finds the unit of the sources that aren't full, until no more are."""
+    order = (F.col("source").isNull(), "source")
+    place = dense_ids(found.withColumn("_none", order[0]), "_none", "source", name="_number")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("_number") - 1, F.lit(len(weights))) + 1).cast("int"))
+    table = materialize(place.select("source", "source_size", "source_rows", weight.alias("_weight")), "weights")
+    full = F.col("_weight") * F.lit(0.0) > 0  # none
+    unit, n_full = 0.0, -1
+    while True:
+        size = F.col("source_size")
+        r = table.agg(F.sum(size).alias("all"), F.sum(F.when(full, size)).alias("full"), F.sum(F.when(~full, F.col("_weight"))).alias("open"), F.count(F.when(full, 1)).alias("n")).first()
+        if r["n"] == n_full or not r["open"]:
+            break
+        n_full, unit = r["n"], (share * r["all"] - most * (r["full"] or 0)) / r["open"]
+        full = full | (F.lit(unit) * F.col("_weight") > most * size)
+    return table.select("source", "source_size", "source_rows", F.when(full, most * F.col("source_size")).otherwise(F.lit(unit) * F.col("_weight")).alias("target"))
 
 
 def _fly(seed: int, turn: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """Flight, and in the last round landing, for one (source, chunk)."""
 
     def fly(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "size", "ref"], kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed}/{turn}/{keys}")
         prob, size = pdf["prob"].tolist(), pdf["size"].tolist()
         free = [i for i, p in enumerate(prob) if 0.0 < p < 1.0]
@@ -145,16 +167,23 @@ def _fly(seed: int, turn: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd
     return fly
 
 
-def balanced_copies(rows: DataFrame, mix: DataFrame, seed: int = 17, chunk: int = CHUNK) -> DataFrame:
-    """rows: sizes_of(); mix: targets(). Adds source_size, target and copies."""
+def balanced_copies(rows: DataFrame, mix: DataFrame, few: bool = True, seed: int = 17, chunk: int = CHUNK) -> DataFrame:
+    """rows: sizes_of(); mix, few: targets(). Adds source_size, target and copies."""
     most = mix.agg(F.max("source_rows")).first()[0] or 1
+    # Rows that are alike are one row with their number, whatever it is.
+    rows = rows.groupBy("doc_id", "ref", "source", "size").agg(F.count("*").alias("alike"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     chunks = F.greatest(F.ceil(F.col("source_rows") / chunk), F.lit(1))
-    level = rows.join(F.broadcast(mix), rows["source"].eqNullSafe(mix["source"])).drop(mix["source"])
+    # Without nulls, so that sources too many to broadcast can be joined as hot and other keys.
+    named = mix.select(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("_named"), "source_size", "source_rows", "target")
+    level = rows.withColumn("_named", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
+    level = level.join(F.broadcast(named), "_named") if few else skew_join(level, named, ["_named"], "source_rows")
     level = level.select(
-        rows["doc_id"], rows["ref"], rows["source"], "size", "source_size", "target", F.floor(expected).cast("double").alias("whole"), (expected - F.floor(expected)).alias("prob"),
-        F.pmod(F.xxhash64(F.lit(seed), rows["doc_id"], "size"), chunks).cast("long").alias("chunk"),
+        "doc_id", "ref", "source", "size", "source_size", "target", "alike", F.floor(expected).cast("double").alias("whole"), (F.col("alike") * (expected - F.floor(expected))).alias("prob"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "ref"), chunks).cast("long").alias("chunk"),
     )
+    # So many of them have one copy more than the whole part for certain; the rest of it is a probability.
+    level = level.withColumn("sure", F.floor("prob")).withColumn("prob", F.col("prob") - F.floor("prob"))
     schema = level.schema
     groups = max(1, -(-most // chunk))
     done: list[DataFrame] = []
@@ -174,20 +203,26 @@ def balanced_copies(rows: DataFrame, mix: DataFrame, seed: int = 17, chunk: int
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "ref", "source", "size", "source_size", "target", (F.col("whole") + F.col("prob")).cast("int").alias("copies"))
+    out = out.withColumn("_first", F.explode(F.sequence(F.lit(1), F.col("alike"), F.lit(ALIKE))))
+    if out.filter(F.col("_first") > 1).limit(1).count():
+        out = out.repartition(F.xxhash64("doc_id", "_first"))
+    out = out.withColumn("_i", F.explode(F.sequence(F.col("_first"), F.least("alike", F.col("_first") + ALIKE - 1))))
+    more = (F.col("_i") <= F.col("sure") + F.col("prob")).cast("int")
+    return out.select("doc_id", "ref", "source", "size", "source_size", "target", (F.col("whole") + more).cast("int").alias("copies"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, chunk: int = CHUNK, text: str = "text", doc_id: str = "doc_id", source: str = "source", ref: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken, and ref if a
     column is named that the caller knows rows by.
 
-    A null or empty text has size 0 and may be chosen, for 0 words. Rows without a source are a source
-    of their own, the last. Repeated rows are chosen each for itself. With the same rows a rerun
-    chooses the same; most is at least 1 and bounds a document's copies. An empty table gives no rows.
-    Other columns are ignored, whatever their names.
+    A null or empty text has size 0 and may be chosen, for 0 words; a very long one is one document like others, so
+    its source's words may miss their target by as much. Rows without a source are a source of their own, the
+    last. Of repeated rows, alike in identifier, source and size, their share is taken, one more or less;
+    those beyond have a copy less. With the same rows a rerun chooses the same; most is at least 1 and bounds a
+    document's copies. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows = materialize(sizes_of(docs, text, doc_id, source, ref), "sizes")
-    out = balanced_copies(rows, targets(rows, weights, share, most), seed, chunk)
+    out = balanced_copies(rows, *targets(rows, weights, share, most), seed, chunk)
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out if ref else out.drop("ref")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from quern.llm.common import blocks, mix, span_hashes, spans, text_bytes
+from quern.llm.common import blocks, mix, release, span_hashes, spans, text_bytes
 
 #: Labelled texts of each class that the model is fitted on, at most; those with the least hash.
 FIT_ROWS = 1200
@@ -392,7 +392,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_by
         chosen = part if chosen is None else chosen.unionByName(part)
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     # At most 2 * most rows, so the broadcast is bounded; of repeated rows one is learned from.
-    found = body.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min_by("text", F.length("text")).alias("text"), F.max("toxic").alias("toxic"))
+    found = body.join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min_by("text", F.struct(F.length("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
     size = F.octet_length("text").cast("long")
     in_turn = Window.partitionBy("toxic").orderBy(F.when(size * LONG > most_bytes, size).otherwise(0), order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("so_far", F.sum(size).over(in_turn)).withColumn("place", F.count("*").over(in_turn))
@@ -408,6 +408,7 @@ def _scored(model: Model | float, place: int) -> Callable[[Iterator[pa.RecordBat
             got = [score_texts(model, column.slice(i, j - i)) for i, j in blocks(offsets)]
             s = np.concatenate(got).astype(np.float64) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "_score"])
+        release()
 
     return score
 

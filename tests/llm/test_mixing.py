@@ -84,6 +84,29 @@ def test_reruns_agree(docs):
     assert key(mixing.mix_sources(docs)) == key(mixing.mix_sources(docs.repartition(7)))
 
 
+def test_many_sources(spark):
+    r = random.Random(7)
+    rows = [(i, "w " * r.randint(0, 30), None if i % 13 == 0 else f"s{r.randint(0, 40)}é") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = mixing.materialize(mixing.sizes_of(docs), "sizes")
+    (few, is_few), (many, is_many) = mixing.targets(sizes), mixing.targets(sizes, local=5)
+    assert is_few and not is_many
+    few, many = ({r["source"]: r["target"] for r in t.collect()} for t in (few, many))
+    assert few.keys() == many.keys() and all(many[s] == pytest.approx(few[s]) for s in few)
+    found = mixing.balanced_copies(sizes, *mixing.targets(sizes, local=5)).collect()
+    assert len(found) == 600 and {r["source"] for r in found} == few.keys()
+
+
+def test_a_row_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ALIKE", 40)
+    rows = [(1, "w " * 7, "a")] * 300 + [(i, "w " * (i % 9), "ab"[i % 2]) for i in range(2, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = mixing.mix_sources(docs, chunk=50).collect()
+    check(found, rows)
+    own = [r for r in found if r["doc_id"] == 1]
+    assert abs(sum(r["copies"] for r in own) - 300 * own[0]["target"] / own[0]["source_size"]) <= 1
+
+
 def test_rounds_of_chunks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN", 3)
     r = random.Random(5)
