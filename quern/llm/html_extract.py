@@ -452,8 +452,8 @@ def _extracted(model: Labeller) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def extract_pages(pages: DataFrame, model: Labeller | None = None, source: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    A null or empty page, and one without main text, has the empty text. Repeated rows are read each; an
-    empty table gives no rows; other columns are ignored, whatever their names. No shuffle.
+    A null or empty page, and one without main text, has the empty text; a very long one is labelled whole, all its
+    blocks in one sequence. Repeated rows are read each; an empty table gives no rows; other columns are ignored, whatever their names. No shuffle.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"))
     return rows.mapInArrow(_extracted(model or trained()), "page_id long, url string, text string, n_chars long")

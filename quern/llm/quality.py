@@ -125,8 +125,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ledger(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, MEASURES, fail_bits.
 
-    A null or empty text has measures of 0 and fails few_words. Repeated rows are measured each; an
-    empty table gives no rows; other columns are ignored, whatever their names.
+    A null or empty text has measures of 0 and fails few_words; a very long one is measured whole. Repeated rows are
+    measured each; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.mapInArrow(_measured, ", ".join(["doc_id long", *(f"{m} long" for m in MEASURES)]))

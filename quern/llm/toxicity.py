@@ -423,8 +423,10 @@ def score_docs(docs: DataFrame, model: Model | float, text: str = "text") -> Dat
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
-    Only the text is an input of a score, so repeated rows score alike. An empty table gives no rows;
-    other columns are ignored, whatever their names.
+    Only the text is an input of a score, so repeated rows score alike. A null or empty text, and one without words,
+    has 0; a very long one has the score of its worst window, of all its windows. Of labelled rows that repeat an
+    identifier, the one with the shortest text, of these the least, is learned from, and an identifier that any row
+    labels toxic is toxic. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     model = fit_labels(docs, labels, text=text, doc_id=doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
