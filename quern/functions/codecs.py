@@ -52,42 +52,88 @@ def varbyte_decode(data: bytes) -> list[int]:
     return out
 
 
-def _packed_encode(values: np.ndarray, modes: tuple[tuple[int, ...], ...]) -> bytes:
-    """Words of 32 bits: 4 of selector, 28 of values. Values of over 28 bits are exceptions at the front."""
-    all_ = _check(values)
-    large = [(i, v) for i, v in enumerate(all_) if v >= 1 << 28]
-    words, at = [], 0
-    low = [v & ((1 << 28) - 1) for v in all_]
-    while at < len(low):
-        for selector, bits in enumerate(modes):
-            part = low[at : at + len(bits)]
-            if all(v < 1 << b for v, b in zip(part, bits)):
-                word, shift = selector, 4
-                for v, b in zip(part, bits):
-                    word |= v << shift
-                    shift += b
-                words.append(word)
-                at += len(part)
-                break
-    return struct.pack(f"<II{2 * len(large)}I{len(words)}I", len(low), len(large), *(x for e in large for x in e), *words)
+def _modes(modes: tuple[tuple[int, ...], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(selectors, 28): bits and shift of each place of a word, 0 bits where there is none; values of a word."""
+    bits = np.array([m + (0,) * (28 - len(m)) for m in modes], np.int64)
+    shift = 4 + np.cumsum(bits, axis=1) - bits
+    return bits, shift, np.array([len(m) for m in modes])
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of all lists."""
+    offsets = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
+    return np.concatenate([np.zeros(0, np.int64), *lists]), offsets
 
 
-def _packed_decode(data: bytes, modes: tuple[tuple[int, ...], ...]) -> list[int]:
-    numbers = struct.unpack(f"<{len(data) // 4}I", data)
-    n, m = numbers[:2]
-    out: list[int] = []
-    for word in numbers[2 + 2 * m :]:
-        bits, shift = modes[word & 15], 4
-        for b in bits:
-            if len(out) == n:
+def _packed_encode(lists: list[np.ndarray], modes: tuple[tuple[int, ...], ...]) -> list[bytes]:
+    """Words of 32 bits: 4 of selector, 28 of values. Values of over 28 bits are exceptions at the front. All lists
+    get their next word at once, by the first selector that fits."""
+    bits, shift, many = _modes(modes)
+    values, offsets = _flat(lists)
+    if len(values) and (values.min() < 0 or values.max() >= 1 << 32):
+        raise ValueError("values must be from 0 to 2**32 - 1")
+    low = values & ((1 << 28) - 1)
+    need = np.ceil(np.log2(low + 1)).astype(np.int64)
+    large = np.flatnonzero(values >= 1 << 28)
+    of = np.searchsorted(offsets, large, "right") - 1
+    at, end, live = offsets[:-1].copy(), offsets[1:], np.flatnonzero(np.diff(offsets))
+    owner, words = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    place = np.arange(28)
+    while len(live):
+        i = at[live][:, None] + place
+        inside = i < end[live][:, None]
+        i = np.minimum(i, len(values) - 1)
+        wanted = np.where(inside, need[i], 0)
+        pick = np.full(len(live), -1)
+        for selector in range(len(modes)):
+            open_ = np.flatnonzero(pick < 0)
+            if not len(open_):
                 break
-            out.append(word >> shift & ((1 << b) - 1))
-            shift += b
-    for k in range(m):
-        out[numbers[2 + 2 * k]] = numbers[3 + 2 * k]
+            n = many[selector]
+            pick[open_[(wanted[open_, :n] <= bits[selector, :n]).all(1)]] = selector
+        used = inside & (place < many[pick][:, None])
+        word = pick + np.where(used, low[i] << shift[pick], 0).sum(1)
+        owner.append(live)
+        words.append(word.astype(np.uint32))
+        at[live] += used.sum(1)
+        live = live[at[live] < end[live]]
+    owner, words = np.concatenate(owner), np.concatenate(words)
+    order = np.argsort(owner, kind="stable")
+    words, cut = words[order], np.searchsorted(owner[order], np.arange(len(lists) + 1))
+    first = np.searchsorted(of, np.arange(len(lists) + 1))
+    out = []
+    for k, x in enumerate(lists):
+        own = large[first[k] : first[k + 1]]
+        head = np.concatenate([[len(x), len(own)], np.stack([own - offsets[k], values[own]], 1).reshape(-1)])
+        out.append(head.astype("<u4").tobytes() + words[cut[k] : cut[k + 1]].astype("<u4").tobytes())
     return out
 
 
+def _packed_decode(blobs: list[bytes], modes: tuple[tuple[int, ...], ...]) -> list[np.ndarray]:
+    bits, shift, many = _modes(modes)
+    numbers = [np.frombuffer(b, "<u4").astype(np.int64) for b in blobs]
+    sizes = np.array([x[0] for x in numbers], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    words, cut = _flat([x[2 + 2 * int(x[1]) :] for x in numbers])
+    owner = np.repeat(np.arange(len(blobs)), np.diff(cut))
+    selector = words & 15
+    count = many[selector]
+    before = np.concatenate([[0], np.cumsum(count)])
+    start = before[:-1] - before[cut[:-1]][owner] + offsets[owner]
+    out = np.zeros(int(offsets[-1]), np.int64)
+    for s in range(len(modes)):
+        rows = np.flatnonzero(selector == s)
+        for j in range(many[s]):
+            to = start[rows] + j
+            fits = to < offsets[owner[rows] + 1]
+            out[to[fits]] = words[rows[fits]] >> shift[s, j] & ((1 << int(bits[s, j])) - 1)
+    for x, first in zip(numbers, offsets):
+        for k in range(int(x[1])):
+            out[first + x[2 + 2 * k]] = x[3 + 2 * k]
+    return np.split(out, offsets[1:-1]) if len(blobs) else []
+
+
 def _bits(values: list[int], width: int) -> bytes:
     """Values of width bits, the lowest bit first."""
     total = 0
@@ -159,13 +205,15 @@ def rice_decode(data: bytes) -> list[int]:
     return out
 
 
+#: Of one list, and of what it is encoded to.
 CODECS: dict[str, tuple[Callable[[np.ndarray], bytes], Callable[[bytes], list[int]]]] = {
     "varbyte": (varbyte_encode, varbyte_decode),
-    "simple9": (lambda v: _packed_encode(v, _S9), lambda d: _packed_decode(d, _S9)),
-    "simple16": (lambda v: _packed_encode(v, _S16), lambda d: _packed_decode(d, _S16)),
+    "simple9": (lambda v: _packed_encode([v], _S9)[0], lambda d: _packed_decode([d], _S9)[0].tolist()),
+    "simple16": (lambda v: _packed_encode([v], _S16)[0], lambda d: _packed_decode([d], _S16)[0].tolist()),
     "pfordelta": (pfor_encode, pfor_decode),
     "rice": (rice_encode, rice_decode),
 }
+_MODES = {"simple9": _S9, "simple16": _S16}
 DEFAULT = "simple16"
 
 
@@ -182,26 +230,41 @@ def gaps(values: Column) -> Column:
 
 def ungaps(values: Column) -> Column:
     """Running sums: the inverse of gaps."""
-    start = F.slice(values, 1, 0)
-    return F.aggregate(values, start, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
+    return sums_before(values, including=True)
+
+
+def sums_before(values: Column, including: bool = False) -> Column:
+    """The sum of the values before each (including: and of itself), in one batched pass."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(lists: pd.Series) -> pd.Series:
+        total = lists.map(lambda x: None if x is None else np.cumsum(np.asarray(x, np.int64)))
+        return total if including else pd.Series([None if x is None else t - np.asarray(x, np.int64) for x, t in zip(lists, total)], dtype=object)
+
+    return run(values.cast("array<bigint>"))
 
 
 def encode(values: Column, codec: str = DEFAULT, with_gaps: bool = False) -> Column:
-    one = CODECS[check_codec(codec)][0]
+    one, modes = CODECS[check_codec(codec)][0], _MODES.get(codec)
+    many = (lambda lists: _packed_encode(lists, modes)) if modes else (lambda lists: list(map(one, lists)))
 
     @F.pandas_udf(T.BinaryType())
     def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: None if x is None else one(np.diff(x, prepend=0) if with_gaps else np.asarray(x, np.int64)))
+        known = [np.asarray(x, np.int64) for x in lists if x is not None]
+        done = iter(many([np.diff(x, prepend=0) for x in known] if with_gaps else known))
+        return pd.Series([None if x is None else next(done) for x in lists], dtype=object)
 
     return run(values.cast("array<bigint>"))
 
 
 def decode(data: Column, codec: str = DEFAULT, with_gaps: bool = False) -> Column:
-    one = CODECS[check_codec(codec)][1]
+    one, modes = CODECS[check_codec(codec)][1], _MODES.get(codec)
+    many = (lambda blobs: _packed_decode(blobs, modes)) if modes else (lambda blobs: list(map(one, blobs)))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def run(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda x: None if x is None else (np.cumsum(one(x)).tolist() if with_gaps else one(x)))
+        done = (np.asarray(x, np.int64) for x in many([x for x in blobs if x is not None]))
+        return pd.Series([None if x is None else (np.cumsum(v) if with_gaps else v) for x, v in ((x, None if x is None else next(done)) for x in blobs)], dtype=object)
 
     return run(data)
 

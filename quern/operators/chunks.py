@@ -22,6 +22,6 @@ def encode_chunks(posts: DataFrame, codec: str = codecs.DEFAULT, doc_id: str = "
 def decode_chunks(chunks: DataFrame, codec: str = codecs.DEFAULT) -> DataFrame:
     """term, chunk_no, doc_id, tf, positions. Only columns that are asked for are decoded."""
     lists = chunks.select("term", "chunk_no", codecs.decode(F.col("doc_ids"), codec, True).alias("d"), codecs.decode(F.col("tfs"), codec).alias("tf"), codecs.decode(F.col("positions"), codec).alias("p"))
-    before = F.transform("tf", lambda x, i: F.aggregate(F.slice("tf", 1, i), F.lit(0).cast("long"), lambda a, b: a + b))
+    before = codecs.sums_before(F.col("tf"))
     rows = lists.withColumn("before", before).select("term", "chunk_no", "p", F.explode(F.arrays_zip("d", "tf", "before")).alias("z"))
     return rows.select("term", "chunk_no", F.col("z.d").alias("doc_id"), F.col("z.tf").alias("tf"), F.slice("p", F.col("z.before").cast("int") + 1, F.col("z.tf").cast("int")).alias("positions"))
