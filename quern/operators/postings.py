@@ -17,6 +17,8 @@ from quern.functions.text import doc_length, tokenize
 CHUNK = 128
 #: Documents of a range, within which a term's postings are numbered by one task.
 RANGE = 1 << 20
+#: Parts of a term's documents by hash, where their order doesn't matter.
+PARTS = 64
 
 
 def postings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -41,12 +43,21 @@ def frequencies(posts: DataFrame) -> DataFrame:
 
 def scored(posts: DataFrame, lens: DataFrame, stats: DataFrame, model: BM25 = BM25(), doc_id: str = "doc_id") -> DataFrame:
     """posts with doc_len, df and score (BM25 of the term in the document)."""
-    return with_scores(posts.join(lens, doc_id), frequencies(posts), stats, model)
+    return with_scores(with_df(posts.join(lens, doc_id), doc_id), stats, model)
 
 
-def with_scores(posts: DataFrame, terms: DataFrame, stats: DataFrame, model: BM25 = BM25()) -> DataFrame:
-    """posts (with doc_len) with df and score. stats is one row, so it is always broadcast."""
-    joined = posts.join(terms, "term").crossJoin(F.broadcast(stats))
+def with_df(posts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Adds df. A term that a third of all documents have is no hot key: it is counted, and meets its count, in parts
+    of its documents."""
+    rows = posts.withColumn("_range", F.pmod(F.xxhash64(doc_id), F.lit(PARTS)).cast("int"))
+    sizes = rows.groupBy("term", "_range").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("term", "_range", F.sum("_n").over(Window.partitionBy("term")).alias("df"))
+    return rows.join(sizes, ["term", "_range"]).drop("_range")
+
+
+def with_scores(posts: DataFrame, stats: DataFrame, model: BM25 = BM25()) -> DataFrame:
+    """posts (with doc_len and df) with score. stats is one row, so it is always broadcast."""
+    joined = posts.crossJoin(F.broadcast(stats))
     return joined.withColumn("score", model.score(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avgdl"))).drop("n_docs", "n_tokens", "avgdl")
 
 
@@ -57,11 +68,11 @@ def term_table(posts: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def numbered(posts: DataFrame, doc_id: str = "doc_id", size: int = RANGE) -> DataFrame:
-    """Adds rn: the place of a posting among its term's, from 1, in order of doc_id."""
+    """Adds rn: the place of a posting among its term's, from 1, in order of doc_id; and df, the term's postings."""
     rows = posts.withColumn("_range", F.floor(F.col(doc_id) / size))
     sizes = rows.groupBy("term", "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("term").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("term", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    first = sizes.select("term", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy("term")).alias("df"))
     inside = Window.partitionBy("term", "_range").orderBy(doc_id)
     return rows.withColumn("_rank", F.row_number().over(inside)).join(first, ["term", "_range"]).withColumn("rn", F.col("_first") + F.col("_rank")).drop("_range", "_rank", "_first")
 

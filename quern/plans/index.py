@@ -18,7 +18,8 @@ from quern.operators.fuzzy import similar_terms
 from quern.operators.ids import dense_ids
 from quern.plans.workspace import spread, workspace, write_table
 
-CACHED_QUERIES = 10_000
+#: Remembered queries, and rows of each of them.
+CACHED_QUERIES, HITS = 10_000, 50
 VERSION = 1
 TABLES = ("docs", "postings", "terms", "block_max", "meta")
 
@@ -72,7 +73,7 @@ class Index:
         tokens = tokenize(rows.select("ext_id", "text").join(ids, "ext_id"), "text", "ext_id", "doc_id", "doc_len")
         posts = tokens.groupBy("ext_id", "doc_id", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).drop("ext_id")
         posts = write_table(posts, "postings")
-        posts = P.with_scores(P.numbered(posts), P.frequencies(posts), stats, model).withColumn("chunk_no", P.chunk_of(F.col("rn"), chunk))
+        posts = P.with_scores(P.numbered(posts), stats, model).withColumn("chunk_no", P.chunk_of(F.col("rn"), chunk))
         posts = posts.select("term", "doc_id", "tf", "positions", "score", "chunk_no").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         put(posts, "postings")
         posts = get("postings").drop("positions")
@@ -144,7 +145,9 @@ class Index:
         return self._described(found)
 
     def hits(self, text: str, k: int | None = None, mode: str = "wand") -> list:
-        """search(), collected and remembered: rows of the k best documents."""
+        """search(), collected and remembered: rows of the k best documents, by default as many as the mode gives,
+        and of mode boolean the first HITS."""
+        k = k or R.MODES[R.check_mode(mode)][0] or HITS
         key = (self.stamp, text, k, mode)
         if key in self._cache:
             self._cache.move_to_end(key)

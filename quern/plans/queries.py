@@ -109,7 +109,9 @@ def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return text.tokenize(documents(spark, sf), "text", "doc_id").select("doc_id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    # Each term of a document once, in its row: only counts are shuffled.
+    terms = documents(spark, sf).select(F.explode(F.array_distinct(text.token_array(F.col("text")))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:

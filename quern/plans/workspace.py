@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one of this machine
+    if all executors are on it; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quern-workspace-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
