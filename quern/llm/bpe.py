@@ -26,9 +26,9 @@ from quern.llm.common import blocks, release, text_bytes
 #: As the byte-level pre-tokenizer splits; \s by the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of text whose pre-tokens are encoded together.
-BLOCK = 6 << 20
+BLOCK = 2 << 20
 #: Encoded pre-tokens that a task remembers; it forgets all beyond.
-MEMORY = 200_000
+MEMORY = 100_000
 
 _NONE = np.int64(1) << 40
 
@@ -276,7 +276,7 @@ _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_docs(docs: DataFrame, path: str | None = None, with_ids: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids.
 
-    A null text counts as empty and has no tokens. Strings of special tokens in a text are their ids.
+    A null or empty text has no tokens; a very long one is encoded whole, in a block of its own. Strings of special tokens in a text are their ids.
     Repeated rows are encoded each; an empty table gives no rows; other columns are ignored, whatever
     their names. No shuffle: each text is encoded where it is read.
     """
