@@ -27,7 +27,7 @@ from quern.llm.common import blocks, release, text_bytes
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Bytes of text whose pre-tokens are encoded together.
 BLOCK = 2 << 20
-#: Encoded pre-tokens that a task remembers; it forgets all beyond.
+#: Encoded pre-tokens that a task remembers; beyond, it forgets those that its present block doesn't have.
 MEMORY = 100_000
 
 _NONE = np.int64(1) << 40
@@ -202,12 +202,14 @@ class Codec:
         self.text_of: dict[str | int, str] = {}
         self.bytes_of: dict[str | int, bytes] = {}
         self.ids_of: dict[str | int, bytes] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.text_of.clear()
-        self.bytes_of.clear()
-        self.ids_of.clear()
+        self._forget(set())
+
+    def _forget(self, found: set) -> None:
+        """Keeps what is found just now, so that common pre-tokens stay known."""
+        for known in (self.text_of, self.bytes_of, self.ids_of):
+            keep = {w: known[w] for w in found if w in known}
+            known.clear()
+            known.update(keep)
         for i in self.vocab.special.values():
             self.text_of[i], self.bytes_of[i], self.ids_of[i] = str(i), self.vocab.bytes_of[i], np.int32(i).tobytes()
 
@@ -216,8 +218,7 @@ class Codec:
         if not new:
             return
         if len(self.text_of) + len(new) > self.memory:
-            self._forget()
-            new = [w for w in found if w not in self.text_of]
+            self._forget(found)
         ids, at = self.vocab.encode_words([w.encode() for w in new])
         text = list(map(str, ids.tolist()))
         packed = ids.astype(np.int32).tobytes()
