@@ -397,7 +397,9 @@ def fit_labels(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, most_by
     in_turn = Window.partitionBy("toxic").orderBy(F.when(size * LONG > most_bytes, size).otherwise(0), order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("so_far", F.sum(size).over(in_turn)).withColumn("place", F.count("*").over(in_turn))
     rows = sorted(found.filter((F.col("so_far") <= most_bytes) | (F.col("place") <= LEAST_ROWS)).select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    release()
+    return model
 
 
 def _scored(model: Model | float, place: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

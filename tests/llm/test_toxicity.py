@@ -145,3 +145,13 @@ def test_long_texts_starve_no_others(spark, monkeypatch):
     # Each class has some rows however long its texts are.
     found = fitted({i: 5000 for i in of[1]}, 2000)
     assert found == [(0, 10)] * 100 + [(1, 5000)] * T.LEAST_ROWS
+
+
+def test_memory_of_the_fit_is_given_back(spark, monkeypatch):
+    """The driver goes on to other stages with what it has."""
+    done = []
+    monkeypatch.setattr(T, "fit", lambda texts, toxic: done.append("fit") or 0.0)
+    monkeypatch.setattr(T, "release", lambda: done.append("release"))
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(6)], "doc_id long, text string")
+    T.fit_labels(docs, spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int"))
+    assert done == ["fit", "release"]
