@@ -59,3 +59,14 @@ def test_empty(spark, folder, none):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_near_copies_take_few_tables(spark, docs, folder, monkeypatch):
+    """Places beyond a block aren't split again, and few links need no turns."""
+    written = []
+    monkeypatch.setattr(C.near_dedup, "CAP", 3)
+    monkeypatch.setattr(C.near_dedup, "materialize", lambda df, name, real=C.near_dedup.materialize: written.append(name) or real(df, name))
+    kept = C.drop_near_copies(spark, docs, folder).collect()
+    assert written.count("places") == written.count("edges") == 1
+    monkeypatch.undo()
+    assert sorted(map(repr, kept)) == sorted(map(repr, C.drop_near_copies(spark, docs, folder).collect()))
