@@ -35,14 +35,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _take(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs (keyed) that wanted (_ref, copies) asks for, so many times. One row for each _ref in wanted."""
+    """The rows of docs (keyed) that wanted (_ref, copies, alike) asks for, so many times. One row for each _ref in wanted;
+    at most alike rows of docs have it, which the caller knows from tables without texts."""
     if docs.columns[-1] != "_ref":
         raise ValueError("no _ref")
     # Rows that are alike are seldom, but must be told from copies that are asked for.
-    repeated = docs.groupBy("_ref").count().filter("count > 1")
-    if repeated.limit(1).count():
+    if wanted.filter("alike > 1").limit(1).count():
         docs = docs.dropDuplicates(["_ref"])
-    return docs.join(wanted, "_ref").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns[:-1])
+    return docs.join(wanted.drop("alike"), "_ref").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns[:-1])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col(name["text"]), F.lit("")).cast("binary"), 256)
     ids = _keyed(rows).select("_ref", F.col(name["doc_id"]).cast("long").alias("_own"), digest.alias("_sha"), F.col(name["text"]).isNull().alias("_null"))
     stay = ids.join(marked.distinct(), (ids["_sha"] == marked["_sha"]) & ids["_own"].eqNullSafe(marked["_id"])).select("_ref", "_null", ids["_sha"], "_own")
-    wanted = stay.groupBy("_sha", "_own").agg(F.min_by("_ref", F.struct("_null", "_ref")).alias("_ref")).select("_ref").distinct().withColumn("copies", F.lit(1))
+    wanted = stay.groupBy("_sha", "_own").agg(F.min_by("_ref", F.struct("_null", "_ref")).alias("_ref"), F.count("*").alias("alike")).select("_ref", F.lit(1).alias("copies"), "alike")
     return _take(_keyed(rows), materialize(wanted, "kept")).toDF(*docs.columns)
 
 
@@ -75,7 +75,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stay as they are."""
     rows, name = _named(docs)
     found = near_dedup.near_duplicates(_keyed(rows), text=name["text"], doc_id=name["doc_id"], ref="_ref")
-    wanted = found.filter("kept").select(F.col("ref").alias("_ref")).distinct().withColumn("copies", F.lit(1))
+    wanted = found.filter("kept").groupBy(F.col("ref").alias("_ref")).agg(F.lit(1).alias("copies"), F.count("*").alias("alike"))
     return _take(_keyed(rows), materialize(wanted, "kept")).toDF(*docs.columns)
 
 
@@ -85,7 +85,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of all. An empty table gives no rows; other columns stay as they are."""
     rows, name = _named(docs)
     found = mixing.mix_sources(_keyed(rows), text=name["text"], doc_id=name["doc_id"], source=name["source"], ref="_ref")
-    wanted = found.groupBy("ref").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0").withColumnRenamed("ref", "_ref")
+    wanted = found.groupBy("ref").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("alike")).filter("copies > 0").withColumnRenamed("ref", "_ref")
     return _take(_keyed(rows), materialize(wanted, "copies")).toDF(*docs.columns)
 
 

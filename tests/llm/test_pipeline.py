@@ -70,3 +70,18 @@ def test_near_copies_take_few_tables(spark, docs, folder, monkeypatch):
     assert written.count("places") == written.count("edges") == 1
     monkeypatch.undo()
     assert sorted(map(repr, kept)) == sorted(map(repr, C.drop_near_copies(spark, docs, folder).collect()))
+
+
+@pytest.mark.parametrize("stage", [C.drop_near_copies, C.mix])
+def test_texts_are_read_twice(spark, folder, docs, stage):
+    """Once for what the stage finds, once for what it returns; that rows are alike is known without their texts."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    got = stage(spark, docs.mapInArrow(counted, docs.schema), folder).collect()
+    assert read.value == 2 * docs.count()
+    assert sorted(map(repr, got)) == sorted(map(repr, stage(spark, docs, folder).collect()))
