@@ -10,6 +10,8 @@ STOP_WORDS = tuple(
 )
 WHITE_SPACE = r"[\p{IsWhite_Space}]+"
 EDGES = r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$"
+#: What cleaning leaves as it is.
+PLAIN = r"^[a-z0-9]+\z"
 VALID = "^[a-z0-9-]{1,20}$"
 MAX_TERM = 20
 
@@ -20,8 +22,8 @@ def split_words(text: Column) -> Column:
 
 
 def clean_word(word: Column) -> Column:
-    """Without other than letters and digits at both ends, in lower case."""
-    return F.lower(F.regexp_replace(word, EDGES, ""))
+    """Without other than letters and digits at both ends, in lower case. Most words are so already."""
+    return F.when(word.rlike(PLAIN), word).otherwise(F.lower(F.regexp_replace(word, EDGES, "")))
 
 
 def is_valid_token(term: Column) -> Column:
@@ -45,11 +47,36 @@ def doc_length(text: Column) -> Column:
     return F.size(token_array(text))
 
 
+def once(value: Column) -> Column:
+    """The value, of an expression that isn't a function of the row: the planner copies it into no filter or lambda above,
+    where it would be computed again for each row or element."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def tokenize(rows: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     """keys, pos, term of each surviving token. pos counts all raw words, also those that are dropped."""
     # Words are cleaned before they are rows: in a projection after it, filters would clean each word again.
     terms = F.transform(split_words(F.col(text)), clean_word)
-    return rows.select(*keys, F.posexplode(terms).alias("pos", "term")).filter(is_token(F.col("term")))
+    return rows.select(*keys, once(terms).alias("_words")).select(*keys, F.posexplode("_words").alias("pos", "term")).filter(is_token(F.col("term")))
+
+
+def placed_tokens(text: Column) -> Column:
+    """Surviving tokens as structs of term and pos; pos counts all raw words."""
+    words = F.transform(F.transform(split_words(text), clean_word), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    return F.filter(words, lambda x: is_token(x["term"]))
+
+
+def count_terms(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """rows with doc_len and terms in place of tokens (as placed_tokens gives them): each term of the row once, with its
+    positions, ascending. A row is counted by itself, so nothing is shuffled."""
+    keys = [c for c in rows.columns if c != tokens]
+    rows = rows.select(*keys, once(F.sort_array(tokens)).alias("_sorted"))
+    new = lambda x, i: F.when((i == 0) | (x["term"] != F.get(F.col("_sorted"), i - 1)["term"]), i)
+    rows = rows.select(*keys, "_sorted", once(F.filter(F.transform("_sorted", new), lambda i: i.isNotNull())).alias("_first"))
+    size = F.size("_sorted")
+    positions = lambda i, k: F.transform(F.slice("_sorted", i + 1, F.coalesce(F.get(F.col("_first"), k + 1), size) - i), lambda x: x["pos"])
+    terms = F.transform("_first", lambda i, k: F.struct(F.get(F.col("_sorted"), i)["term"].alias("term"), positions(i, k).alias("positions")))
+    return rows.select(*keys, size.alias("doc_len"), once(terms).alias("terms"))
 
 
 def strip_tags(html: Column) -> Column:

@@ -1,7 +1,7 @@
 """From documents to postings, statistics and block bounds.
 
-docs: doc_id (dense, from 1), and text. Tokens of a document are in one row, so counting a document's
-terms combines before the shuffle, and only postings are shuffled. Nothing here collects a term's
+docs: doc_id (dense, from 1), and text. A document's terms are counted in its row, and only postings are
+shuffled. Nothing here collects a term's
 postings in one task: what runs over the documents of a term is done by ranges of documents, whose
 counts give each range its offset.
 """
@@ -12,23 +12,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.bm25 import BM25, idf
-from quern.functions.text import doc_length, tokenize
+from quern.functions.text import count_terms, doc_length, once, placed_tokens
+from quern.plans.workspace import write_table
 
 CHUNK = 128
 #: Documents of a range, within which a term's postings are numbered by one task.
 RANGE = 1 << 20
-#: Parts of a term's documents by hash, where their order doesn't matter.
-PARTS = 64
+#: Terms with more documents than HOT are joined in PARTS parts of them by hash, where their order doesn't matter.
+HOT, PARTS = 1 << 20, 64
+#: Postings that a task sorts.
+SORTED = 1 << 20
+
+
+def counted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, doc_len, terms (as count_terms gives them) of each document. Rows that share a doc_id are one document;
+    only those are shuffled."""
+    rows = docs.select(doc_id, placed_tokens(F.col(text)).alias("tokens"))
+    again = docs.groupBy(doc_id).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(doc_id).alias("_id"))
+    if again.limit(1).count():
+        one = rows.join(again, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+        many = rows.join(again, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
+        rows = one.unionByName(many.groupBy(doc_id).agg(F.flatten(F.collect_list("tokens")).alias("tokens")))
+    return count_terms(rows)
+
+
+def postings_of(documents: DataFrame, *keys: str) -> DataFrame:
+    """term, keys, tf, positions of documents with terms (as counted() gives them)."""
+    rows = documents.select(*keys, F.explode("terms").alias("_t"))
+    return rows.select(F.col("_t.term").alias("term"), *keys, F.size("_t.positions").alias("tf"), F.col("_t.positions").alias("positions"))
 
 
 def postings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """term, doc_id, tf, positions (ascending) of each term in each document."""
-    return tokenize(docs, text, doc_id).groupBy(doc_id, "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", doc_id, "tf", "positions")
+    return postings_of(counted(docs, text, doc_id), doc_id)
 
 
 def lengths(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, doc_len of documents with a token; no shuffle."""
-    return docs.select(doc_id, doc_length(F.col(text)).alias("doc_len")).filter("doc_len > 0")
+    return docs.select(doc_id, once(doc_length(F.col(text))).alias("doc_len")).filter("doc_len > 0")
 
 
 def collection(lens: DataFrame) -> DataFrame:
@@ -46,13 +67,15 @@ def scored(posts: DataFrame, lens: DataFrame, stats: DataFrame, model: BM25 = BM
     return with_scores(with_df(posts.join(lens, doc_id), doc_id), stats, model)
 
 
-def with_df(posts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Adds df. A term that a third of all documents have is no hot key: it is counted, and meets its count, in parts
-    of its documents."""
-    rows = posts.withColumn("_range", F.pmod(F.xxhash64(doc_id), F.lit(PARTS)).cast("int"))
-    sizes = rows.groupBy("term", "_range").agg(F.count("*").alias("_n"))
-    sizes = sizes.select("term", "_range", F.sum("_n").over(Window.partitionBy("term")).alias("df"))
-    return rows.join(sizes, ["term", "_range"]).drop("_range")
+def with_df(posts: DataFrame, doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
+    """Adds df. Postings are shuffled once, to meet the term's count; a term that a third of all documents have is no hot
+    key, for it meets its count in parts of its documents. The hot terms are at most all postings / hot."""
+    sizes = write_table(frequencies(posts), "frequencies")
+    many = F.broadcast(sizes.filter(F.col("df") > hot).select("term", F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(doc_id), F.lit(PARTS)).cast("int")).otherwise(0)
+    rows = posts.join(many, "term", "left").withColumn("_part", part).drop("_hot")
+    sizes = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col("df") > hot, PARTS - 1).otherwise(0))))
+    return rows.join(sizes, ["term", "_part"]).drop("_part")
 
 
 def with_scores(posts: DataFrame, stats: DataFrame, model: BM25 = BM25()) -> DataFrame:
@@ -61,20 +84,31 @@ def with_scores(posts: DataFrame, stats: DataFrame, model: BM25 = BM25()) -> Dat
     return joined.withColumn("score", model.score(F.col("n_docs"), F.col("df"), F.col("tf"), F.col("doc_len"), F.col("avgdl"))).drop("n_docs", "n_tokens", "avgdl")
 
 
-def term_table(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf, max_score of scored postings."""
-    found = posts.groupBy("term").agg(F.count("*").alias("df"), F.max("score").alias("max_score"))
+def term_table(bounds: DataFrame, stats: DataFrame) -> DataFrame:
+    """term, df, idf, max_score by the bounds of a term's chunks."""
+    found = bounds.groupBy("term").agg(F.sum("n").alias("df"), F.max("max_score").alias("max_score"))
     return found.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n_docs"), F.col("df")).alias("idf"), "max_score")
 
 
 def numbered(posts: DataFrame, doc_id: str = "doc_id", size: int = RANGE) -> DataFrame:
-    """Adds rn: the place of a posting among its term's, from 1, in order of doc_id; and df, the term's postings."""
+    """Adds rn: the place of a posting among its term's, from 1, in order of doc_id; and df, the term's postings. Rows are
+    range-partitioned and sorted by term and document.
+
+    Postings are shuffled once: a row for each term and range of documents, which says what stands before the
+    range, is sorted in front of the range's postings.
+    """
     rows = posts.withColumn("_range", F.floor(F.col(doc_id) / size))
-    sizes = rows.groupBy("term", "_range").agg(F.count("*").alias("_n"))
+    sizes = write_table(rows.groupBy("term", "_range").agg(F.count("*").alias("_n")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count("*").alias("heads")).first()
     before = Window.partitionBy("term").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("term", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy("term")).alias("df"))
-    inside = Window.partitionBy("term", "_range").orderBy(doc_id)
-    return rows.withColumn("_rank", F.row_number().over(inside)).join(first, ["term", "_range"]).withColumn("rn", F.col("_first") + F.col("_rank")).drop("_range", "_rank", "_first")
+    heads = sizes.select("term", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(Window.partitionBy("term")).alias("df"))
+    rows = rows.withColumn("_row", F.lit(1)).unionByName(heads.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-(total["n"] + total["heads"]) // SORTED))
+    rows = rows.repartitionByRange(parts, "term", "_range").sortWithinPartitions("term", "_range", "_row", doc_id)
+    inside = Window.partitionBy("term", "_range").orderBy("_row", doc_id)
+    known = [F.first(c).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(c) for c in ("_first", "df")]
+    rows = rows.select(*posts.columns, "_row", *known, F.row_number().over(inside).alias("_rank")).filter("_row = 1")
+    return rows.select(*posts.columns, "df", (F.col("_first") + F.col("_rank") - 1).alias("rn"))
 
 
 def chunk_of(rn: Column, chunk: int = CHUNK) -> Column:

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from quern.functions.bm25 import BM25
 from quern.functions.codecs import DEFAULT, check_codec
-from quern.functions.text import doc_length, tokenize
+from quern.functions.text import count_terms, placed_tokens, tokenize
 from quern.operators import postings as P
 from quern.operators import retrieval as R
 from quern.operators.fuzzy import similar_terms
-from quern.operators.ids import dense_ids
-from quern.plans.workspace import spread, workspace, write_table
+from quern.operators.ids import dense_ids, numbered_places
+from quern.plans.workspace import workspace, write_table
 
 #: Remembered queries, and rows of each of them.
 CACHED_QUERIES, HITS = 10_000, 50
@@ -49,19 +49,22 @@ class Index:
         """Indexes docs (key: a column without repeats that orders them) and writes the tables under path, over
         any index there.
 
-        Documents without a token get no identifier. Texts are shuffled at most once, to meet their
-        identifiers, and counting their terms then needs no shuffle. Postings are range-partitioned and
-        sorted by term, so a search reads the row groups of its terms only.
+        Documents without a token get no identifier. Texts are shuffled once, to be numbered in order of their key; their terms are counted in the
+        row, once. Postings are shuffled once, to be range-partitioned and sorted by term, so a search reads the
+        row groups of its terms only.
         """
         check_codec(codec)
         path = path or f"{workspace(spark)}/index-{uuid.uuid4().hex}"
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
         get = lambda name: spark.read.parquet(f"{path}/{name}")
         rows = docs.select(F.col(key).alias("ext_id"), F.col(text).alias("text"), (F.col(title) if title else F.concat(F.lit("doc-"), F.col(key))).alias("title"), (F.col(url) if url else F.lit("")).alias("url"))
-        rows = spread(rows)
-        # Written before it is filtered and sorted, so that each text is split into words once here.
-        known = write_table(rows.select("ext_id", "title", "url", doc_length(F.col("text")).alias("doc_len")), "lengths").filter("doc_len > 0")
-        put(dense_ids(known, "ext_id", name="doc_id").select("doc_id", "ext_id", "title", "url", "doc_len"), "docs")
+        # By ranges of the key, so that a document's number is its place. A table of few row groups is spread, too, for its texts
+        # are split into words there.
+        parts = max(spark.sparkContext.defaultParallelism, 2 * rows.rdd.getNumPartitions())
+        rows = rows.repartitionByRange(parts, "ext_id").sortWithinPartitions("ext_id")
+        rows = count_terms(rows.select("ext_id", "title", "url", placed_tokens(F.col("text")).alias("tokens"))).filter("doc_len > 0")
+        known = numbered_places(write_table(rows.withColumn("_place", F.monotonically_increasing_id()), "counted"), "doc_id")
+        put(known.select("doc_id", "ext_id", "title", "url", "doc_len"), "docs")
         ids = get("docs").select("ext_id", "doc_id", "doc_len")
         if ids.groupBy("ext_id").count().filter("count > 1").limit(1).count():
             raise ValueError(f"{key} isn't unique")
@@ -69,16 +72,11 @@ class Index:
         stamp = uuid.uuid4().hex
         put(stats.select("n_docs", "n_tokens", "avgdl", F.lit(model.k1).alias("k1"), F.lit(model.b).alias("b"), F.lit(codec).alias("codec"), F.lit(VERSION).alias("version"), F.lit(stamp).alias("stamp")).coalesce(1), "meta")
         stats = get("meta").select("n_docs", "n_tokens", "avgdl")
-        # Grouped by ext_id too: the join may have brought all rows of one together already.
-        tokens = tokenize(rows.select("ext_id", "text").join(ids, "ext_id"), "text", "ext_id", "doc_id", "doc_len")
-        posts = tokens.groupBy("ext_id", "doc_id", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).drop("ext_id")
-        posts = write_table(posts, "postings")
-        posts = P.with_scores(P.numbered(posts), stats, model).withColumn("chunk_no", P.chunk_of(F.col("rn"), chunk))
-        posts = posts.select("term", "doc_id", "tf", "positions", "score", "chunk_no").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        put(posts, "postings")
-        posts = get("postings").drop("positions")
-        put(dense_ids(P.term_table(posts, stats), "term", name="term_id").select("term_id", "term", "df", "idf", "max_score"), "terms")
-        put(P.block_bounds(posts), "block_max")
+        posts = P.numbered(P.postings_of(known, "doc_id", "doc_len").drop("tf")).withColumn("tf", F.size("positions"))
+        posts = P.with_scores(posts, stats, model).withColumn("chunk_no", P.chunk_of(F.col("rn"), chunk))
+        put(posts.select("term", "doc_id", "tf", "positions", "score", "chunk_no"), "postings")
+        put(P.block_bounds(get("postings").drop("positions")), "block_max")
+        put(dense_ids(P.term_table(get("block_max"), stats), "term", name="term_id").select("term_id", "term", "df", "idf", "max_score"), "terms")
         return cls(spark, path, stamp)
 
     @classmethod

@@ -102,6 +102,42 @@ def test_numbering_by_ranges(spark):
     assert all(r["gap"] == (r["doc_id"] - max((s["doc_id"] for s in gaps if s["term"] == r["term"] and s["doc_id"] < r["doc_id"]), default=0)) for r in gaps)
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_postings_without_a_shuffle(spark):
+    """Of a document in one row and of one in two."""
+    docs = spark.createDataFrame([(1, "b1 a1 b1"), (2, "c1 -- a1"), (3, None), (4, "")], "doc_id long, text string")
+    assert exchanges(P.postings(docs)) == 0
+    more = docs.unionByName(spark.createDataFrame([(1, "a1 d1")], docs.schema))
+    found = {(r["term"], r["doc_id"]): (r["tf"], r["positions"]) for r in P.postings(more).collect()}
+    assert found == {("b1", 1): (2, [0, 2]), ("a1", 1): (2, [0, 1]), ("d1", 1): (1, [1]), ("c1", 2): (1, [0]), ("a1", 2): (1, [2])}
+
+
+def test_numbering_shuffles_postings_once(spark):
+    """One exchange of postings; the rest are of counts, which are a table by then."""
+    rows = spark.createDataFrame([(t, i, "x") for t in "tu" for i in range(40)], "term string, doc_id long, more string")
+    found = P.numbered(rows, size=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("more") and "Join" not in plan and plan.count("Exchange rangepartitioning") == 1
+    assert sorted((r["term"], r["doc_id"], r["rn"], r["df"], r["more"]) for r in found.collect()) == [(t, i, i + 1, 40, "x") for t in "tu" for i in range(40)]
+
+
+@pytest.mark.parametrize("hot", [0, 5, 100])
+def test_document_frequency_of_hot_terms(spark, hot):
+    rows = spark.createDataFrame([(t, i) for t, n in (("t", 40), ("u", 3)) for i in range(n)], "term string, doc_id long")
+    found = P.with_df(rows, hot=hot).collect()
+    assert sorted((r["term"], r["doc_id"], r["df"]) for r in found) == sorted((t, i, n) for t, n in (("t", 40), ("u", 3)) for i in range(n))
+
+
+def test_texts_are_split_once(spark):
+    """No filter above computes the tokens again."""
+    docs = spark.createDataFrame([(1, "b1 a1 b1")], "doc_id long, text string")
+    for df in (P.lengths(docs), P.postings(docs), P.counted(docs).filter("doc_len > 0")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_dense_ids(spark):
     rows = spark.createDataFrame([(x,) for x in random.Random(3).sample(range(10_000), 500)], "k long").repartition(5)
     found = sorted((r["k"], r["dense_id"]) for r in dense_ids(rows, "k").collect())
