@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.text import once
+
 ARTICLE = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "text", "title")])
 PARAGRAPHS = T.StructType(
     [T.StructField("url", T.StringType()), T.StructField("text", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("id", T.StringType()), T.StructField("title", T.StringType())]
@@ -49,11 +51,12 @@ def last_revision(revisions: Column) -> Column:
 def drop_sections(text: Column) -> Column:
     """Without the sections in SECTIONS, each up to the next heading of its level or a higher one."""
     names = "|".join(SECTIONS)
+    any_ = text.rlike(rf"(?:^|\n)=+[ \t]*(?:{names})")  # one search, where six find nothing
     out = text
     for level in range(1, 7):
         mark, up = "=" * level, f"={{1,{level}}}"
         out = F.regexp_replace(out, rf"(?s)(?:^|\n){mark}[ \t]*(?:{names})[ \t]*{mark}[ \t]*(?:\n.*?)?(?=\n{up}[^=\n][^\n]*=[ \t]*(?:\n|\z)|\z)", "")
-    return out
+    return F.when(any_, out).otherwise(text)
 
 
 def drop_templates(text: Column) -> Column:
@@ -69,12 +72,13 @@ def drop_templates(text: Column) -> Column:
         lambda s, c: F.struct(F.greatest(F.lit(0), s["now"] + F.when(c == "{", 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "{", 1).otherwise(-1)).alias("most")),
         lambda s: s["most"],
     )
-    return F.aggregate(
+    bare = F.aggregate(
         F.sequence(F.lit(0), depth),
         F.struct(F.lit(None).cast("string").alias("was"), text.alias("text")),
         lambda s, _: F.when(s["was"] == s["text"], s).otherwise(F.struct(s["text"].alias("was"), F.regexp_replace(s["text"], r"\{\{[^{}]*\}\}", "").alias("text"))),
         lambda s: s["text"],
     )
+    return F.when(text.contains("{{"), bare).otherwise(text)
 
 
 def drop_category_links(text: Column) -> Column:
@@ -117,7 +121,7 @@ def sanitize_title(title: Column) -> Column:
 def dump_articles(pages: DataFrame, base: str) -> DataFrame:
     """id, url, text, title of a dump's articles, cleaned; those without text are dropped."""
     rows = pages.filter(is_article(F.col("ns"), F.col("redirect"))).withColumn("_text", last_revision(F.col("revision"))).filter(F.col("_text").isNotNull())
-    rows = rows.select("id", page_url(F.col("id"), base).alias("url"), clean_wiki_text(F.col("_text")).alias("text"), "title")
+    rows = rows.select("id", page_url(F.col("id"), base).alias("url"), once(clean_wiki_text(F.col("_text"))).alias("text"), "title")
     return rows.filter(F.col("text") != "")
 
 
