@@ -19,7 +19,7 @@ from quern.operators.chunks import decode_chunks, encode_chunks
 from quern.operators.fuzzy import similar_terms
 from quern.operators.ids import dense_ids
 from quern.plans.index import Index, query_terms
-from quern.plans.workspace import spread
+from quern.plans.workspace import spread, write_table
 from quern.sources import articles as A
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,7 +119,8 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dense_doc_ids(spark: SparkSession, sf: str) -> DataFrame:
-    rows = P.lengths(documents(spark, sf))
+    # Written, for choosing the ranges reads the rows once more, and would split each text into words again.
+    rows = write_table(P.lengths(documents(spark, sf)), "lengths")
     return dense_ids(rows, "doc_id").select("doc_id", "dense_id")
 
 
