@@ -24,6 +24,13 @@ HOT, PARTS = 1 << 20, 64
 SORTED = 1 << 20
 
 
+def in_parts(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """rows by hash of the keys, in as many partitions as keep each small enough to be sorted in memory, and one for each
+    core at least. Spark's own number of partitions doesn't grow with the table, and those it joins are sized as packed bytes."""
+    n = rows.count() if n is None else n
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // SORTED)), *keys)
+
+
 def counted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, doc_len, terms (as count_terms gives them) of each document. Rows that share a doc_id are one document;
     only those are shuffled."""
@@ -71,11 +78,12 @@ def with_df(posts: DataFrame, doc_id: str = "doc_id", hot: int = HOT) -> DataFra
     """Adds df. Postings are shuffled once, to meet the term's count; a term that a third of all documents have is no hot
     key, for it meets its count in parts of its documents. The hot terms are at most all postings / hot."""
     sizes = write_table(frequencies(posts), "frequencies")
+    total = sizes.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     many = F.broadcast(sizes.filter(F.col("df") > hot).select("term", F.lit(True).alias("_hot")))
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(doc_id), F.lit(PARTS)).cast("int")).otherwise(0)
     rows = posts.join(many, "term", "left").withColumn("_part", part).drop("_hot")
     sizes = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.when(F.col("df") > hot, PARTS - 1).otherwise(0))))
-    return rows.join(sizes, ["term", "_part"]).drop("_part")
+    return in_parts(rows, "term", "_part", n=total).join(sizes, ["term", "_part"]).drop("_part")
 
 
 def with_scores(posts: DataFrame, stats: DataFrame, model: BM25 = BM25()) -> DataFrame:
@@ -122,8 +130,8 @@ def block_bounds(posts: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def doc_gaps(posts: DataFrame, doc_id: str = "doc_id", size: int = RANGE) -> DataFrame:
     """term, doc_id, gap: the identifier less the term's one before it; the first counts from 0."""
-    rows = posts.select("term", doc_id, F.floor(F.col(doc_id) / size).alias("_range"))
-    last = rows.groupBy("term", "_range").agg(F.max(doc_id).alias("_last"))
+    rows = in_parts(posts.select("term", doc_id, F.floor(F.col(doc_id) / size).alias("_range")), "term", "_range")
+    last = posts.select("term", doc_id, F.floor(F.col(doc_id) / size).alias("_range")).groupBy("term", "_range").agg(F.max(doc_id).alias("_last"))
     last = last.select("term", "_range", F.lag("_last", 1, 0).over(Window.partitionBy("term").orderBy("_range")).alias("_before"))
     inside = Window.partitionBy("term", "_range").orderBy(doc_id)
     rows = rows.withColumn("_lag", F.lag(doc_id).over(inside)).join(last, ["term", "_range"])

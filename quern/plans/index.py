@@ -55,7 +55,7 @@ class Index:
         """
         check_codec(codec)
         path = path or f"{workspace(spark)}/index-{uuid.uuid4().hex}"
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}", compression="zstd")
         get = lambda name: spark.read.parquet(f"{path}/{name}")
         rows = docs.select(F.col(key).alias("ext_id"), F.col(text).alias("text"), (F.col(title) if title else F.concat(F.lit("doc-"), F.col(key))).alias("title"), (F.col(url) if url else F.lit("")).alias("url"))
         # By ranges of the key, so that a document's number is its place. A table of few row groups is spread, too, for its texts
@@ -63,7 +63,7 @@ class Index:
         parts = max(spark.sparkContext.defaultParallelism, 2 * rows.rdd.getNumPartitions())
         rows = rows.repartitionByRange(parts, "ext_id").sortWithinPartitions("ext_id")
         rows = count_terms(rows.select("ext_id", "title", "url", placed_tokens(F.col("text")).alias("tokens"))).filter("doc_len > 0")
-        known = numbered_places(write_table(rows.withColumn("_place", F.monotonically_increasing_id()), "counted"), "doc_id")
+        known = numbered_places(write_table(rows.withColumn("_place", F.monotonically_increasing_id()), "counted", "zstd"), "doc_id")
         put(known.select("doc_id", "ext_id", "title", "url", "doc_len"), "docs")
         ids = get("docs").select("ext_id", "doc_id", "doc_len")
         if ids.groupBy("ext_id").count().filter("count > 1").limit(1).count():

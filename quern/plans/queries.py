@@ -341,7 +341,8 @@ def _codec(name: str, with_gaps: bool) -> Query:
     """Encoded and decoded identifiers of each term's postings, in chunks of 128."""
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        lists = index_of(spark, sf).table("postings").groupBy("term", "chunk_no").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+        posts = index_of(spark, sf).table("postings").select("term", "chunk_no", "doc_id")
+        lists = P.in_parts(posts, "term", "chunk_no").groupBy("term", "chunk_no").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
         lists = lists.withColumn("data", codecs.encode(F.col("ids"), name, with_gaps))
         back = codecs.decode(F.col("data"), name, with_gaps)
         return lists.select("term", "chunk_no", F.size("ids").cast("long").alias("n"), (back == F.col("ids")).alias("same"))

@@ -20,10 +20,10 @@ def workspace(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written once and read back."""
     path = f"{workspace(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -124,6 +124,18 @@ def test_numbering_shuffles_postings_once(spark):
     assert sorted((r["term"], r["doc_id"], r["rn"], r["df"], r["more"]) for r in found.collect()) == [(t, i, i + 1, 40, "x") for t in "tu" for i in range(40)]
 
 
+def test_parts_are_as_many_as_the_rows_need(spark, monkeypatch):
+    """The chunks of a codec, the gaps and the frequencies are sorted in parts of a bounded number of rows."""
+    from quern.operators.chunks import encode_chunks
+
+    monkeypatch.setattr(P, "SORTED", 10)
+    rows = spark.createDataFrame([(t, i, 1, [i], 0.5, i // 8) for t in "tu" for i in range(1, 41)], "term string, doc_id long, tf int, positions array<int>, score double, chunk_no int")
+    for df in (encode_chunks(rows), P.doc_gaps(rows), P.with_df(rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ", 8), REPARTITION_BY_NUM" in plan
+        assert df.count() == (12 if "chunk_no" in df.columns and "codec" in df.columns else 80)
+
+
 @pytest.mark.parametrize("hot", [0, 5, 100])
 def test_document_frequency_of_hot_terms(spark, hot):
     rows = spark.createDataFrame([(t, i) for t, n in (("t", 40), ("u", 3)) for i in range(n)], "term string, doc_id long")
