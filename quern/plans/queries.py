@@ -110,7 +110,7 @@ def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
     # Each term of a document once, in its row: only counts are shuffled.
-    terms = documents(spark, sf).select(F.explode(F.array_distinct(text.token_array(F.col("text")))).alias("term"))
+    terms = documents(spark, sf).select(text.once(F.array_distinct(text.token_array(F.col("text")))).alias("terms")).select(F.explode("terms").alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -135,9 +135,12 @@ def idf_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def posting_scores(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf)
-    lens = P.lengths(docs)
-    return P.scored(P.postings(docs).drop("positions"), lens, P.collection(lens)).select("term", "doc_id", bm25.rounded(F.col("score")).alias("score"))
+    # Each text is split into words once; its terms are written with how often they occur, without positions.
+    docs = P.counted(documents(spark, sf))
+    terms = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), F.size(t["positions"]).alias("tf")))
+    docs = write_table(docs.select("doc_id", "doc_len", terms.alias("terms")), "counted").filter("doc_len > 0")
+    posts = docs.select("doc_id", "doc_len", F.inline("terms"))
+    return P.with_scores(P.with_df(posts), P.collection(docs)).select("term", "doc_id", bm25.rounded(F.col("score")).alias("score"))
 
 
 def term_max_score(spark: SparkSession, sf: str) -> DataFrame:
